@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosa.plans import registry, text_queries  # noqa: F401
+from glosa.plans import culture_queries, geo_queries, registry, text_queries  # noqa: F401
 
-FLAGSHIP = "P05_keyword_filter_basic"
+FLAGSHIP = "E1_geographic_analysis"
 
 
 def queries() -> dict:
