@@ -299,9 +299,12 @@ def dimension_lookup(spark, sf):
 
 @query(
     "J04_dictionary_match",
-    with_(COMMENTS, COUNTRY_TABLE)
-    + f"""SELECT comment_id, name AS country FROM (SELECT comment_id, {_LOW} AS low FROM comments) JOIN country
-  ON regexp_matches(low, '(^|[^{WORD}])' || regexp_escape(lower(name)) || '($|[^{WORD}])')""",
+    with_(
+        COMMENTS, COUNTRY_TABLE,
+        f"""near AS MATERIALIZED (SELECT comment_id, name, {_LOW} AS low FROM comments JOIN country ON contains({_LOW}, lower(name)))""",
+    )
+    + f"""SELECT comment_id, name AS country FROM near
+WHERE regexp_matches(low, '(^|[^{WORD}])' || regexp_escape(lower(name)) || '($|[^{WORD}])')""",
 )
 def dictionary_match(spark, sf):
     names = geography.country_table(spark).select(F.col("country").alias("entry"))
