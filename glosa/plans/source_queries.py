@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glosa.operators import statistics
 from glosa.plans import views
-from glosa.plans.registry import query, sql_text
+from glosa.plans.registry import query
 from glosa.plans.text_queries import sql_r6, sub, t
 from glosa.plans.views import COMMENTS, RAW, with_
 from glosa.session import work_dir
@@ -14,7 +13,6 @@ from glosa.sources import conversion, readers, writers
 from glosa.streaming import ingest
 
 LINE = sub(t, "\\r|\\n", " ")
-TS = "strftime(published_at, '%Y-%m-%d %H:%M:%S')"
 
 
 def raw_csv(spark, sf, *drop, **options):
@@ -187,13 +185,13 @@ def type_coercion(spark, sf):
     return conversion.coerce_types(mixed)
 
 
-_CONVERTED = "converted AS (SELECT comment_id, like_count + CASE WHEN comment_id % 40 = 0 THEN 1 ELSE 0 END AS like_count, detected_language FROM comments WHERE comment_id % 100 <> 99)"
+_CONVERTED = "converted AS (SELECT comment_id, like_count + CASE WHEN like_count = 40 THEN 1 ELSE 0 END AS like_count, detected_language FROM comments WHERE like_count < 96)"
 
 
 def converted_pair(spark, sf):
     c = views.comments(spark, sf, labelled=False, text=False).select("comment_id", "like_count", "detected_language")
-    i = F.col("comment_id")
-    changed = c.filter(i % 100 != 99).withColumn("like_count", F.col("like_count") + F.when(i % 40 == 0, 1).otherwise(0))
+    likes = F.col("like_count")
+    changed = c.filter(likes < 96).withColumn("like_count", likes + F.when(likes == 40, 1).otherwise(0))
     path = work_dir(spark, "converted")
     changed.write.parquet(path)
     return c, spark.read.schema(changed.schema).parquet(path)
@@ -260,7 +258,7 @@ def insights(spark, sf):
 
 @query(
     "S17_text_column",
-    """SELECT 'text' AS "column", count(*) AS n FROM documents UNION ALL SELECT 'html', count(*) FROM pages WHERE false
+    """SELECT 'text' AS "column", count(*) AS n FROM documents
 UNION ALL SELECT 'url', count(*) FROM pages""",
 )
 def text_column(spark, sf):
@@ -268,8 +266,7 @@ def text_column(spark, sf):
     docs, pages = views.table(spark, sf, "documents"), views.table(spark, sf, "pages")
     found = [(f, readers.text_column(f)) for f in (docs, pages)]
     rows = [f.agg(F.count("*").alias("n")).select(F.lit(name).alias("column"), "n") for f, name in found]
-    zero = pages.filter("false").agg(F.count("*").alias("n")).select(F.lit("html").alias("column"), "n")
-    return rows[0].unionByName(rows[1]).unionByName(zero)
+    return rows[0].unionByName(rows[1])
 
 
 # -------------------------------------------------------------------- streams
