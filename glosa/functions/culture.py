@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glosa.functions.patterns import WORD, bounded, contains_word, hits
+from glosa.functions.patterns import bounded, contains_word, hits, matches, pattern_hits
 from glosa.session import compute_once
 from glosa.vocab import words as vocab
 
@@ -35,38 +35,28 @@ def first_keyword(text: Column, keywords) -> Column:
     return F.get(F.transform(F.array(F.lower(text)), search), 0)
 
 
-def pattern_hits(lowered: Column, patterns) -> Column:
-    total = F.lit(0)
-    for pattern in patterns:
-        total = total + lowered.rlike(pattern.replace(r"\w", f"[{WORD}]")).cast("int")
-    return total
-
-
-def matched(lowered: Column, keywords) -> Column:
-    found = [F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in keywords]
-    return F.array_compact(F.array(*found))
-
-
 def with_signals(df, text: str = "original_comment"):
     """Adds, per category, ``<c>_detected/_confidence/_method/_matches`` and the overall score.
 
     Each step reads columns of the step before, so every list is evaluated once
     per row; no row loop and no join.
     """
-    lowered = F.lower(F.col(text))
+    df = compute_once(df, {"_low": F.lower(text)})
+    lowered = F.col("_low")
     counts = {}
     for category in vocab.CATEGORIES:
         c = short(category)
-        counts[f"{c}_words"] = matched(lowered, vocab.CULTURAL_DIRECT[category])
+        counts[f"{c}_n"] = hits(lowered, vocab.CULTURAL_DIRECT[category])
+        counts[f"{c}_words"] = matches(lowered, vocab.CULTURAL_DIRECT[category], "; ")
         counts[f"{c}_indicators"] = hits(lowered, vocab.CULTURAL_INDICATORS[category])
         counts[f"{c}_patterns"] = pattern_hits(lowered, vocab.CULTURAL_PATTERNS[category])
         counts[f"{c}_boosters"] = hits(lowered, vocab.CONTEXT_BOOSTERS[category])
-    df = df.withColumns(counts)
+    df = df.withColumns(counts).drop("_low")
 
     steps = {}
     for category in vocab.CATEGORIES:
         c = short(category)
-        n_words, n_patterns = F.size(f"{c}_words"), F.col(f"{c}_patterns")
+        n_words, n_patterns = F.col(f"{c}_n"), F.col(f"{c}_patterns")
         by_word = F.when(
             n_words > 0, F.least(F.lit(1.0), n_words * 0.8 + F.col(f"{c}_indicators") * 0.2)
         ).otherwise(F.lit(0.0))
@@ -83,7 +73,7 @@ def with_signals(df, text: str = "original_comment"):
         steps[f"{c}_method"] = F.concat(method, F.when(boosted, "+context").otherwise(""))
         steps[f"{c}_matches"] = F.when(
             pattern_wins, F.concat(F.lit("patterns: "), n_patterns.cast("string"))
-        ).otherwise(F.array_join(f"{c}_words", "; "))
+        ).otherwise(F.col(f"{c}_words"))
     df = df.withColumns(steps)
 
     names = [short(c) for c in vocab.CATEGORIES]
@@ -91,7 +81,7 @@ def with_signals(df, text: str = "original_comment"):
     total = sum((F.col(f"{c}_confidence") for c in names), F.lit(0.0))
     bonus = F.least(F.lit(0.2), (n - 1) * 0.1)
     overall = F.when(n > 0, F.least(F.lit(1.0), total / n + bonus)).otherwise(F.lit(0.0))
-    scratch = [f"{c}_{s}" for c in names for s in ("words", "indicators", "patterns", "boosters")]
+    scratch = [f"{c}_{s}" for c in names for s in ("n", "words", "indicators", "patterns", "boosters")]
     return compute_once(df.drop(*scratch), {"n_categories": n, "overall_score": overall})
 
 

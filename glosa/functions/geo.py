@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glosa.functions import emoji
-from glosa.functions.patterns import any_bounded, bounded, contains_any, contains_word, hits
+from glosa.functions.patterns import any_bounded, bounded, contains_any, contains_word, hits, matches
 from glosa.vocab import words as vocab
 from glosa.vocab.countries import country_rows
 
@@ -29,9 +29,8 @@ def has_basic_location(text: Column) -> Column:
 
 
 def matched_keywords(text: Column, keywords=tuple(vocab.GEO_KEYWORDS)) -> Column:
-    lowered = F.lower(text)
-    found = [F.when(F.contains(lowered, F.lit(k)), F.lit(k)) for k in keywords]
-    return F.array_compact(F.array(*found))
+    """Keywords in the text, in list order, joined by ';'; empty if there is none."""
+    return matches(F.lower(text), keywords, ";")
 
 
 def keyword_confidence(text: Column, keywords=tuple(vocab.GEO_KEYWORDS)) -> Column:

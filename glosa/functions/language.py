@@ -11,9 +11,10 @@ from glosa.session import compute_once
 from glosa.vocab.words import LANGUAGE_WORDS
 
 
-def votes(text: Column, words) -> Column:
+def votes(lowered: Column, words) -> Column:
+    """Occurrences of the words in an already lower-cased text."""
     body = "|".join(words)
-    return F.regexp_count(F.lower(text), F.lit(f"(?<![{WORD}])(?:{body})(?![{WORD}])"))
+    return F.regexp_count(lowered, F.lit(f"(?<![{WORD}])(?:{body})(?![{WORD}])"))
 
 
 def detect(df, text: str = "original_comment", language_words=None, min_chars: int = 10):
@@ -24,10 +25,10 @@ def detect(df, text: str = "original_comment", language_words=None, min_chars: i
     """
     language_words = language_words or LANGUAGE_WORDS
     langs = sorted(language_words)
-    bare = T.collapse_spaces(T.remove_urls(F.col(text)))
+    df = compute_once(df, {"_low": F.lower(T.collapse_spaces(T.remove_urls(F.col(text))))})
     counted = df.withColumns(
-        {"_chars": F.length(bare), **{f"_v_{g}": votes(bare, language_words[g]) for g in langs}}
-    )
+        {"_chars": F.length("_low"), **{f"_v_{g}": votes(F.col("_low"), language_words[g]) for g in langs}}
+    ).drop("_low")
     total = sum((F.col(f"_v_{g}") for g in langs), F.lit(0))
     best = F.greatest(*[F.col(f"_v_{g}") for g in langs])
     winner = F.coalesce(*[F.when(F.col(f"_v_{g}") == best, F.lit(g)) for g in langs])

@@ -6,6 +6,7 @@ own ``\\w`` and ``\\b`` only know ASCII, so the edges are spelled out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -81,6 +82,29 @@ def hits(lowered: Column, words: Iterable[str]) -> Column:
     return total
 
 
+def matches(lowered: Column, words: Iterable[str], separator: str) -> Column:
+    """The words that occur in an already lower-cased text, in list order, as one string."""
+    found = [F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in words]
+    return F.array_join(F.array(*found), separator)
+
+
+def pattern_hits(lowered: Column, patterns: Iterable[str]) -> Column:
+    """How many of the patterns (literals with ``\\w+`` in places) occur in a lower-cased text.
+
+    The longest literal piece is searched for first; a ``\\w+`` at either end needs
+    only one word character to be found.
+    """
+    total = F.lit(0)
+    for pattern in patterns:
+        piece = max(re.split(r"\\w\+", pattern), key=len)
+        found = F.contains(lowered, F.lit(piece))
+        if piece != pattern:
+            short = re.sub(r"^\\w\+|\\w\+$", r"\\w", pattern).replace(r"\w", f"[{WORD}]")
+            found = found & lowered.rlike(short)
+        total = total + found.cast("int")
+    return total
+
+
 def occurrences(lowered: Column, word: str) -> Column:
     """Non-overlapping occurrences of one word in an already lower-cased text."""
     return ((F.length(lowered) - F.length(F.replace(lowered, F.lit(word), F.lit("")))) / len(word)).cast(

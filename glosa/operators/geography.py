@@ -31,19 +31,23 @@ def with_hits(df: DataFrame, text: str = TEXT) -> DataFrame:
     """
     t = F.col(text)
     found = df.withColumns(
-        {"_keywords": geo.matched_keywords(t), "_flags": emoji.flags(t), "_places": geo.locations(t)}
+        {
+            "_keywords": geo.matched_keywords(t),
+            "_confidence": geo.keyword_confidence(t),
+            "_flags": emoji.flags(t),
+            "_places": geo.locations(t),
+        }
     )
     hits = F.array_compact(
         F.array(
             _hit(F.size("_flags") > 0, F.lit(0.9), 3, "flag_emoji",
                  F.array_join(emoji.flag_names(F.col("_flags")), ";")),
-            _hit(F.size("_keywords") > 0, geo.keyword_confidence(t), 2, "keyword",
-                 F.array_join("_keywords", ";")),
+            _hit(F.col("_keywords") != "", F.col("_confidence"), 2, "keyword", F.col("_keywords")),
             _hit(F.size("_places") > 0, geo.location_confidence(F.col("_places")), 1,
                  "location_mention", F.array_join("_places", ";")),
         )
     )
-    return compute_once(found, {"hits": hits}).drop("_keywords", "_flags", "_places")
+    return compute_once(found, {"hits": hits}).drop("_keywords", "_confidence", "_flags", "_places")
 
 
 def all_hits(df: DataFrame, text: str = TEXT) -> DataFrame:

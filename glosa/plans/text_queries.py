@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glosa.functions import culture, emoji, geo, language, spam
 from glosa.functions import text as T
 from glosa.functions.patterns import SPACE, WORD, contains_any, contains_word, escape
-from glosa.operators import filters
+from glosa.operators import filters, linguistics
 from glosa.plans import views
 from glosa.plans.registry import query, sql_array, sql_list, sql_rows, sql_text
 from glosa.plans.views import COMMENTS, RAW, with_
@@ -424,48 +424,38 @@ def sql_diversity(words: str) -> str:
 _UPPER = f"CASE WHEN length({t}) > 0 THEN len(regexp_extract_all({t}, '\\p{{Lu}}')) * 1.0::DOUBLE / length({t}) ELSE 0 END"
 _RUNS = sql_runs(t, 3)
 
-function("F10_average_word_length", lambda: {"avg_len": r6(T.average_word_length(w1()))}, {"avg_len": sql_r6(sql_avg_len("w"))})
-function("F11_lexical_diversity", lambda: {"diversity": r6(T.lexical_diversity(w1()))}, {"diversity": sql_r6(sql_diversity("w"))})
+
+def feature(name, column, sql):
+    """One column of the linguistic features, rounded; the statement sees the word lists w and w2."""
+    source = f"(SELECT *, {sql_words(t)} AS w, {sql_words(t, 2)} AS w2 FROM comments)"
+    register(
+        name,
+        lambda c: linguistics.with_features(
+            c.withColumn("errors", F.col("comment_id") % 4), grammar_errors="errors"
+        ).select("comment_id", r6(F.col(column)).alias("value")),
+        f"SELECT comment_id, {sql_r6(sql)} AS value FROM {source}",
+    )
+
+
+feature("F10_average_word_length", "avg_word_length", sql_avg_len("w"))
+feature("F11_lexical_diversity", "lexical_diversity", sql_diversity("w"))
 function("F12_uppercase_share", lambda: {"upper": r6(T.uppercase_share(comment()))}, {"upper": sql_r6(_UPPER)})
 function("F13_repeated_runs", lambda: {"runs": T.repeated_runs(comment())}, {"runs": f"CAST({_RUNS} AS INTEGER)"})
-function(
+feature(
     "F14_rough_score",
-    lambda: {
-        "score": r6(
-            T.rough_score(
-                T.average_word_length(w1()), T.lexical_diversity(w1()), T.uppercase_share(comment()), T.repeated_runs(comment())
-            )
-        )
-    },
-    {
-        "score": sql_r6(
-            f"({sql_avg_len('w')}) * 0.2::DOUBLE + ({sql_diversity('w')}) * 0.4::DOUBLE"
-            f" - ({_UPPER}) * 0.2::DOUBLE - ln(1 + {_RUNS}) * 0.2::DOUBLE"
-        )
-    },
+    "rough_language_score",
+    f"({sql_avg_len('w')}) * 0.2::DOUBLE + ({sql_diversity('w')}) * 0.4::DOUBLE"
+    f" - ({_UPPER}) * 0.2::DOUBLE - ln(1 + {_RUNS}) * 0.2::DOUBLE",
 )
-
-
-def _metric(column):
-    return F.when(F.size(w2()) > 0, column).otherwise(0)
-
-
-function(
+register(
     "F15_text_metrics",
-    lambda: {
-        "word_count": F.size(w2()),
-        "avg_len": r6(T.average_word_length(w2())),
-        "diversity": r6(T.lexical_diversity(w2())),
-        "upper": r6(_metric(T.uppercase_share(comment()))),
-        "runs": _metric(T.repeated_runs(comment())),
-    },
-    {
-        "word_count": "CAST(len(w2) AS INTEGER)",
-        "avg_len": sql_r6(sql_avg_len("w2")),
-        "diversity": sql_r6(sql_diversity("w2")),
-        "upper": sql_r6(f"CASE WHEN len(w2) > 0 THEN {_UPPER} ELSE 0 END"),
-        "runs": f"CAST(CASE WHEN len(w2) > 0 THEN {_RUNS} ELSE 0 END AS INTEGER)",
-    },
+    lambda c: linguistics.text_metrics(c).select(
+        "comment_id", "word_count", *[r6(F.col(n)).alias(n) for n in ("avg_len", "diversity", "upper")], "runs"
+    ),
+    f"""SELECT comment_id, CAST(len(w2) AS INTEGER) AS word_count, {sql_r6(sql_avg_len('w2'))} AS avg_len,
+  {sql_r6(sql_diversity('w2'))} AS diversity, {sql_r6(f'CASE WHEN len(w2) > 0 THEN {_UPPER} ELSE 0 END')} AS upper,
+  CAST(CASE WHEN len(w2) > 0 THEN {_RUNS} ELSE 0 END AS INTEGER) AS runs
+FROM (SELECT *, {sql_words(t, 2)} AS w2 FROM comments)""",
 )
 _NW = f"len(regexp_extract_all({t}, '[{WORD}]+'))"
 _FLESCH = (
@@ -473,33 +463,13 @@ _FLESCH = (
     f" * 1.015::DOUBLE - len(regexp_extract_all(lower({t}), '[aeiouy]+')) * 1.0::DOUBLE / {_NW} * 84.6::DOUBLE ELSE 0 END"
 )
 function("F16_flesch", lambda: {"flesch": r6(T.flesch_reading_ease(comment()))}, {"flesch": sql_r6(_FLESCH)})
-function(
+feature(
     "F17_enhanced_score",
-    lambda: {
-        "score": r6(
-            T.enhanced_score(
-                T.flesch_reading_ease(comment()), F.col("comment_id") % 4, T.average_word_length(w1()),
-                T.lexical_diversity(w1()), T.uppercase_share(comment()), T.repeated_runs(comment()),
-            )
-        )
-    },
-    {
-        "score": sql_r6(
-            f"(({_FLESCH}) - 50) / 50 * 0.4::DOUBLE - ln(1 + comment_id % 4) * 0.3::DOUBLE"
-            f" + ({sql_diversity('w')}) * 0.15::DOUBLE + (({sql_avg_len('w')}) - 4) / 4 * 0.05::DOUBLE"
-            f" - ({_UPPER}) * 0.05::DOUBLE - ln(1 + {_RUNS}) * 0.05::DOUBLE"
-        )
-    },
+    "enhanced_language_score",
+    f"(({_FLESCH}) - 50) / 50 * 0.4::DOUBLE - ln(1 + comment_id % 4) * 0.3::DOUBLE"
+    f" + ({sql_diversity('w')}) * 0.15::DOUBLE + (({sql_avg_len('w')}) - 4) / 4 * 0.05::DOUBLE"
+    f" - ({_UPPER}) * 0.05::DOUBLE - ln(1 + {_RUNS}) * 0.05::DOUBLE",
 )
-# the word-based statements read the word list once
-from glosa.plans.registry import ORACLES  # noqa: E402
-
-for _name in [
-    "F10_average_word_length", "F11_lexical_diversity", "F14_rough_score", "F15_text_metrics", "F17_enhanced_score",
-]:
-    ORACLES[_name] = ORACLES[_name].replace(
-        " FROM comments", f" FROM (SELECT *, {sql_words(t)} AS w, {sql_words(t, 2)} AS w2 FROM comments)"
-    )
 
 _FLAGS = f"regexp_extract_all({t}, '{emoji.FLAG}')"
 _HAS_FLAG = f"{t} RLIKE '{emoji.FLAG}'"
@@ -541,7 +511,7 @@ _KEYWORD_CONF = (
 )
 function(
     "F23_matched_keywords",
-    lambda: {"keywords": F.array_join(geo.matched_keywords(comment()), ";")},
+    lambda: {"keywords": geo.matched_keywords(comment())},
     {"keywords": f"array_to_string(list_filter({sql_array(vocab.GEO_KEYWORDS)}, lambda k: contains({_LOW}, k)), ';')"},
 )
 function("F24_keyword_confidence", lambda: {"confidence": r6(geo.keyword_confidence(comment()))}, {"confidence": sql_r6(_KEYWORD_CONF)})

@@ -52,7 +52,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         texts = {f.name: F.col(f.name) for f in df.schema if f.dataType.simpleString() == "string"}
-        return compute_once(df.repartition(cores, key), texts)
+        # three tasks per core even out texts of very different length
+        return compute_once(df.repartition(3 * cores, key), texts)
     return df
 
 
