@@ -61,10 +61,17 @@ def location_confidence(found: Column, major=tuple(vocab.MAJOR_LOCATIONS)) -> Co
 def country_of_text(text: Column, aliases=tuple(vocab.COUNTRY_ALIASES), names=None) -> Column:
     """First alias in list order, else the leftmost country name, in its standard spelling."""
     names = names or [name for _, _, name in country_rows()]
-    by_alias = [F.when(text.rlike("(?iu)" + bounded(a)), F.lit(name)) for a, name in aliases]
-    leftmost = F.lower(F.regexp_extract(text, any_bounded(names), 0))
     spelling = F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])
-    return F.coalesce(*by_alias, F.when(leftmost != "", F.element_at(spelling, leftmost)))
+
+    def search(lowered: Column) -> Column:
+        by_alias = [
+            F.when(F.contains(lowered, F.lit(a.lower())) & lowered.rlike(bounded(a.lower())), F.lit(name))
+            for a, name in aliases
+        ]
+        leftmost = F.regexp_extract(lowered, any_bounded(names, lowered=True), 0)
+        return F.coalesce(*by_alias, F.when(leftmost != "", F.element_at(spelling, leftmost)))
+
+    return F.get(F.transform(F.array(F.lower(text)), search), 0)
 
 
 def first_flag(text: Column) -> Column:

@@ -6,15 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glosa.functions import text as T
-from glosa.functions.patterns import WORD
+from glosa.functions.patterns import any_bounded
 from glosa.session import compute_once
 from glosa.vocab.words import LANGUAGE_WORDS
 
 
 def votes(lowered: Column, words) -> Column:
     """Occurrences of the words in an already lower-cased text."""
-    body = "|".join(words)
-    return F.regexp_count(lowered, F.lit(f"(?<![{WORD}])(?:{body})(?![{WORD}])"))
+    return F.regexp_count(lowered, F.lit(any_bounded(words, lowered=True)))
 
 
 def detect(df, text: str = "original_comment", language_words=None, min_chars: int = 10):

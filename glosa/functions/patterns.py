@@ -33,10 +33,26 @@ def bounded(word: str, raw: bool = False) -> str:
     return left + (word if raw else escape(word)) + right
 
 
-def any_bounded(words: Iterable[str], raw: Iterable[str] = ()) -> str:
-    """Alternation of whole words, case-insensitive; words start and end with word characters."""
-    body = "|".join([escape(w) for w in words] + list(raw))
-    return f"(?iu)(?<![{WORD}])(?:{body})(?![{WORD}])"
+def alternation(words: Iterable[str]) -> str:
+    """Literal alternatives grouped by their first letter.
+
+    A position is tested against a few letters instead of every word.  Words of
+    one group keep their order, and words of different groups cannot start at the
+    same place, so the match is the one of the plain list.
+    """
+    groups: dict[str, list[str]] = {}
+    for word in words:
+        groups.setdefault(word[0].lower(), []).append(escape(word[1:]))
+    return "|".join(escape(first) + "(?:" + "|".join(rest) + ")" for first, rest in groups.items())
+
+
+def any_bounded(words: Iterable[str], lowered: bool = False) -> str:
+    """Whole words of a list that start and end with word characters, whatever the case.
+
+    ``lowered=True`` gives the cheaper pattern for an already lower-cased text.
+    """
+    body = alternation([w.lower() for w in words] if lowered else words)
+    return f"{'' if lowered else '(?iu)'}(?<![{WORD}])(?:{body})(?![{WORD}])"
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
