@@ -179,9 +179,9 @@ def keyword_documents(df: DataFrame, vocabulary: dict, text: str = "original_com
     )
 
 
-def dataset_comparison(df: DataFrame, scored: DataFrame, group: str = "video") -> DataFrame:
-    """Per dataset: rows, rows with a category, share."""
-    totals = df.groupBy(group).agg(F.count("*").alias("total"))
-    found = scored.groupBy(group).agg(F.count("*").alias("detected"))
-    joined = totals.join(found, group, "left").fillna(0, ["detected"])
-    return joined.withColumn("pct", share(F.col("detected"), F.col("total")))
+def dataset_comparison(every: DataFrame, group: str = "video") -> DataFrame:
+    """Per dataset: rows, rows with a category, share; ``every`` keeps the rows without a category."""
+    counts = every.groupBy(group).agg(
+        F.count("*").alias("total"), F.count_if(F.col("n_categories") > 0).alias("detected")
+    )
+    return counts.withColumn("pct", share(F.col("detected"), F.col("total")))

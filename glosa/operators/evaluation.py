@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from glosa.session import side_by_side
+
 
 def argmax_label(scores: dict[str, str]) -> Column:
     """Label of the highest score; ties go to the first label, null if every score is null."""
@@ -69,7 +71,7 @@ def accuracy_report(pairs: DataFrame, labels: list[str], *by: str) -> DataFrame:
     )
     if by:
         return accuracy.join(f1, list(by))
-    return accuracy.withColumn("_k", F.lit(1)).join(f1.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(accuracy, f1)
 
 
 def cohen_kappa(pairs: DataFrame) -> DataFrame:

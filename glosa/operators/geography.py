@@ -55,19 +55,23 @@ def all_hits(df: DataFrame, text: str = TEXT) -> DataFrame:
     return with_hits(df, text).select("*", F.inline("hits")).drop("hits", "rank")
 
 
-def best_hits(df: DataFrame, text: str = TEXT, id_column: str = "comment_id") -> DataFrame:
+def best_hits(df: DataFrame, keep_text: bool = False, id_column: str = "comment_id") -> DataFrame:
     """One row per distinct text, with its most confident method.
 
     Confidence depends on the text alone, so the best method is chosen inside the
     row; what is left is one aggregation per text, which combines before the
-    shuffle and so takes any number of copies of one text.
+    shuffle and so takes any number of copies of one text.  Without ``keep_text``
+    the texts are grouped by their SHA-256 and only digests are shuffled.
     """
-    with_any = with_hits(df, text).filter(F.size("hits") > 0)
-    best = with_any.withColumn("best", F.array_max("hits")).drop("hits")
-    payload = F.struct(*[c for c in best.columns if c != text])
-    first = best.groupBy(text).agg(F.min_by(payload, F.col(id_column)).alias("row"))
-    kept = [f"row.{c}" for c in df.columns if c != text]
-    return first.select(*kept, text, "row.best.method", "row.best.confidence", "row.best.detail")
+    key = F.col(TEXT) if keep_text else F.sha2(TEXT, 256)
+    found = with_hits(df).filter(F.size("hits") > 0)
+    columns = [c for c in df.columns if c != TEXT]
+    payload = F.struct(*columns, F.array_max("hits").alias("best"))
+    first = found.groupBy(key.alias("_key")).agg(F.min_by(payload, F.col(id_column)).alias("row"))
+    text = [F.col("_key").alias(TEXT)] if keep_text else []
+    return first.select(
+        *[f"row.{c}" for c in columns], *text, "row.best.method", "row.best.confidence", "row.best.detail"
+    )
 
 
 def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from glosa.functions import text as T
 from glosa.operators.filters import parsed
+from glosa.session import side_by_side
 
 SITE_START = "TIMESTAMP_NTZ '2005-01-01 00:00:00'"
 
@@ -56,10 +57,7 @@ def metrics(df: DataFrame, now: Column, text: str = "original_comment", date: st
         language = F.col("detected_language")
         aggregates["one_language"] = F.coalesce(F.min(language) == F.max(language), F.lit(False))
     one = prepared.agg(*[a.alias(n) for n, a in aggregates.items()])
-    # both sides are a single row
-    return one.withColumn("_k", F.lit(1)).join(
-        F.broadcast(duplicate_rows(df).withColumn("_k", F.lit(1))), "_k"
-    ).drop("_k")
+    return side_by_side(one, duplicate_rows(df))
 
 
 def scored(measured: DataFrame) -> DataFrame:

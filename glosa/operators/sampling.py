@@ -57,15 +57,17 @@ def row_range(df: DataFrame, key: str, start: int, end: int, slices: int = 4096)
     Keys are cut into equal ranges; counts per range locate the rows, so only the
     ranges that overlap the wanted rows are ranked.
     """
-    bounds = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    width = F.floor((F.col("_high") - F.col("_low")) / slices) + 1
-    sliced = df.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
-    sliced = sliced.withColumn("_slice", F.floor((F.col(key) - F.col("_low")) / width)).drop("_one", "_low", "_high")
+    low, high = df.agg(F.min(key), F.max(key)).first()  # two numbers
+    if low is None:
+        return df
+    width = (high - low) // slices + 1
+    sliced = df.withColumn("_slice", F.floor((F.col(key) - low) / width))
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("_c"))
     before = W.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     wanted = offsets.filter((F.col("_before") < end) & (F.col("_before") + F.col("_c") > start)).drop("_c")
     within = F.row_number().over(W.partitionBy("_slice").orderBy(key))
+    # at most one row per slice is broadcast
     ranked = sliced.join(F.broadcast(wanted), "_slice").withColumn("_n", F.col("_before") + within - 1)
     return ranked.filter((F.col("_n") >= start) & (F.col("_n") < end)).drop("_slice", "_before", "_n")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glosa.functions import culture as signals_of
 from glosa.functions.culture import short
-from glosa.functions.patterns import WORD
+from glosa.functions.patterns import WORD, contains_any
 from glosa.operators import culture
 from glosa.plans import views
 from glosa.plans.geo_queries import sql_trend
@@ -260,8 +260,7 @@ def diversity(spark, sf):
   {sql_r6('count(*) FILTER (n_categories > 0) * 100.0 / count(*)')} AS pct FROM scored GROUP BY 1""",
 )
 def dataset_comparison(spark, sf):
-    every = views.comments(spark, sf, labelled=False, text=False)
-    return culture.dataset_comparison(every, scored(spark, sf))
+    return culture.dataset_comparison(signals_of.with_signals(views.comments(spark, sf, labelled=False)))
 
 
 def _occurrence_sql(by: str) -> str:
@@ -324,8 +323,6 @@ _CAT_HITS = {c: sql_has(t, ws) for c, ws in vocab.CULTURAL_CONFIG.items()}
 )
 def category_coverage(spark, sf):
     """Rows per category, and the rows with any category (their sum would count some rows twice)."""
-    from glosa.functions.patterns import contains_any
-
     c = views.comments(spark, sf, labelled=False)
     marked = c.select(*[contains_any(F.col(t), ws).alias(short(k)) for k, ws in vocab.CULTURAL_CONFIG.items()])
     any_hit = F.col(NAMES[0]) | F.col(NAMES[1]) | F.col(NAMES[2])

@@ -83,6 +83,10 @@ def unlabelled(spark, sf):
     return views.comments(spark, sf, labelled=False)
 
 
+def best_hits(spark, sf):
+    return geography.best_hits(unlabelled(spark, sf).select("comment_id", "published_at", t))
+
+
 # ---------------------------------------------------------- extraction and dedupe
 
 
@@ -118,7 +122,7 @@ def union_distinct(spark, sf):
     with_(COMMENTS, HITS, BEST) + f"SELECT comment_id, method, {sql_r6('confidence')} AS confidence, detail FROM best",
 )
 def best_hit_per_text(spark, sf):
-    best = geography.best_hits(unlabelled(spark, sf))
+    best = best_hits(spark, sf)
     return best.select("comment_id", "method", F.round("confidence", 6).alias("confidence"), "detail")
 
 
@@ -135,7 +139,8 @@ def best_hit_per_text(spark, sf):
 )
 def geographic_analysis(spark, sf):
     """Validate, extract, keep the best hit per text, count by month and method."""
-    best = geography.best_hits(filters.validated(unlabelled(spark, sf)))
+    valid = filters.validated(unlabelled(spark, sf).select("comment_id", "published_at", t))
+    best = geography.best_hits(valid)
     return best.groupBy(F.date_format("published_at", "yyyy-MM").alias("period"), "method").agg(
         F.count("*").alias("n"),
         F.round(F.avg("confidence"), 6).alias("mean_confidence"),
@@ -147,7 +152,7 @@ def geographic_analysis(spark, sf):
 
 
 def geo_months(spark, sf):
-    return statistics.period_counts(geography.best_hits(unlabelled(spark, sf)))
+    return statistics.period_counts(best_hits(spark, sf))
 
 
 @query("A01_monthly_counts", with_(COMMENTS, HITS, BEST, GEO_MONTHS) + "SELECT period, n FROM months")
@@ -167,7 +172,7 @@ for _freq, _fmt in {"D": "%Y-%m-%d", "Y": "%Y"}.items():
 
 @query("A02_value_counts", with_(COMMENTS, HITS, BEST) + "SELECT method, count(*) AS n FROM best GROUP BY 1")
 def value_counts(spark, sf):
-    return statistics.value_counts(geography.best_hits(unlabelled(spark, sf)), "method")
+    return statistics.value_counts(best_hits(spark, sf), "method")
 
 
 @query(
@@ -226,7 +231,7 @@ def seasonality(spark, sf):
   count(*) FILTER (confidence > 0.8) AS high_confidence FROM best GROUP BY 1""",
 )
 def confidence_summary(spark, sf):
-    best = geography.best_hits(unlabelled(spark, sf))
+    best = best_hits(spark, sf)
     return best.groupBy("method").agg(
         F.count("*").alias("n"),
         F.round(F.avg("confidence"), 6).alias("mean_confidence"),
@@ -241,7 +246,7 @@ def confidence_summary(spark, sf):
   WHERE method = 'flag_emoji') GROUP BY 1 ORDER BY n DESC, country LIMIT 10""",
 )
 def top_countries(spark, sf):
-    flagged = geography.best_hits(unlabelled(spark, sf)).filter("method = 'flag_emoji'")
+    flagged = best_hits(spark, sf).filter("method = 'flag_emoji'")
     countries = flagged.select(F.explode(F.split("detail", ";")).alias("country"))
     return statistics.top(statistics.value_counts(countries, "country"), 10, "country")
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glosa.functions import spam
 from glosa.functions import text as T
-from glosa.operators import evaluation, joins, quality, sampling, statistics
+from glosa.functions.emoji import TONES
+from glosa.operators import evaluation, filters, joins, quality, sampling, statistics
 from glosa.plans import views
-from glosa.plans.registry import query, sql_array, sql_list, sql_rows
+from glosa.plans.registry import query, sql_list, sql_rows
 from glosa.plans.text_queries import (
     NOT_EMOJI, SQL_NON_ALPHA, SPACE, sql_clean, sql_has, sql_r6, sql_runs, sub, t,
 )
-from glosa.functions.emoji import TONES
 from glosa.plans.views import ANNOTATIONS, COMMENTS, RAW, SCORES, with_
+from glosa.session import written
 from glosa.vocab import words as vocab
 
 EMOTIONS = vocab.EMOTIONS
@@ -193,8 +194,6 @@ def mean_length(spark, sf):
     f"SELECT toxic, count(*) AS n, {sql_r6('count(*) * 1.0 / sum(count(*)) OVER ()')} AS share FROM labels GROUP BY 1",
 )
 def class_balance(spark, sf):
-    from pyspark.sql import Window as W
-
     counts = statistics.value_counts(views.table(spark, sf, "labels"), "toxic")
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))), 6))
 
@@ -206,8 +205,6 @@ def class_balance(spark, sf):
   {sql_r6('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY video)')} AS pct FROM comments GROUP BY 1, 2""",
 )
 def share_within_group(spark, sf):
-    from pyspark.sql import Window as W
-
     counts = statistics.value_counts(views.comments(spark, sf, labelled=False, text=False), "video", "detected_language")
     return counts.withColumn("pct", statistics.share(F.col("n"), F.sum("n").over(W.partitionBy("video"))))
 
@@ -355,8 +352,6 @@ def model_comparison(spark, sf):
 )
 def predictions_by_class(spark, sf):
     """One folder per predicted class, read back."""
-    from glosa.session import written
-
     s = views.scores(spark, sf)
     judged = s.select(
         "comment_id",
@@ -479,9 +474,7 @@ def except_rows(spark, sf):
 FROM raw WHERE length({t}) BETWEEN 3 AND 10000 AND year(try_cast(published_at AS TIMESTAMP)) BETWEEN 2005 AND 2025""",
 )
 def validated_comments(spark, sf):
-    from glosa.operators.filters import validated
-
-    kept = validated(views.raw_comments(spark, sf))
+    kept = filters.validated(views.raw_comments(spark, sf))
     return kept.select("comment_id", F.year("published_at").alias("year"), "spam_label", "emotion_label")
 
 
@@ -493,8 +486,6 @@ def validated_comments(spark, sf):
   AND year(try_cast(published_at AS TIMESTAMP)) BETWEEN 2005 AND 2025, false) AS keep FROM raw)""",
 )
 def removed_count(spark, sf):
-    from glosa.operators import filters
-
     raw = views.raw_comments(spark, sf)
     keep = filters.length_between(F.col(t)) & filters.year_between(filters.parsed("published_at"))
     return filters.removal_report(raw, keep)

@@ -89,3 +89,11 @@ def compute_once(df: DataFrame, columns: dict) -> DataFrame:
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     keep = [c for c in df.columns if c not in columns]
     return df.select(*keep, F.inline(F.array(row)))
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Several one-row tables as one row, without a join."""
+    merged = rows[0]
+    for other in rows[1:]:
+        merged = merged.unionByName(other, allowMissingColumns=True)
+    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from glosa.session import side_by_side
 from glosa.sources.readers import read_csv
 
 # ---------------------------------------------------------------- fixed values
@@ -98,10 +99,9 @@ def compare_tables(left: DataFrame, right: DataFrame, key: str, tolerance: float
 
 def conversion_status(source: DataFrame, converted: DataFrame) -> DataFrame:
     """Row and column counts of both sides and the verdict: equal, or fewer rows by under 5 %; more rows fail."""
-    rows = source.agg(F.count("*").alias("source_rows")).withColumn("_k", F.lit(1))
-    out = converted.agg(F.count("*").alias("converted_rows")).withColumn("_k", F.lit(1))
+    rows = source.agg(F.count("*").alias("source_rows"))
+    joined = side_by_side(rows, converted.agg(F.count("*").alias("converted_rows")))
     only = sorted(set(source.columns) ^ set(converted.columns))
-    joined = rows.join(F.broadcast(out), "_k").drop("_k")  # single rows
     lost = F.try_divide((F.col("source_rows") - F.col("converted_rows")) * 100.0, F.col("source_rows"))
     columns_equal = len(source.columns) == len(converted.columns)
     ok = F.lit(columns_equal) & (F.col("source_rows") > 0) & (lost >= 0) & (lost < 5)
