@@ -13,7 +13,7 @@ from glosa.vocab.words import EMOTIONS
 def test_best_hit_takes_any_number_of_copies(spark):
     rows = [(i, "video_a", "Love from India 🇮🇳" if i % 3 == 0 else f"Hi from London {i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "comment_id long, video string, original_comment string")
-    best = {r.original_comment: r for r in geography.best_hits(df).collect()}
+    best = {r.original_comment: r for r in geography.best_hits(df, keep_text=True).collect()}
     assert len(best) == 2001
     hot = best["Love from India 🇮🇳"]
     assert (hot.comment_id, hot.method, hot.confidence) == (0, "flag_emoji", 0.9)
