@@ -22,7 +22,7 @@ _PLAIN = r"\x{0}-\x{A8}\x{AF}-\x{203B}"
 
 def extract(text: Column) -> Column:
     """All emoji characters, in order, as one string."""
-    return F.regexp_replace(text, f"(?:[{_PLAIN}]++|[^{EMOJI[1:]})++", "")
+    return F.regexp_replace(text, f"[{_PLAIN}]++|[^{EMOJI[1:]}++", "")
 
 
 def remove(text: Column) -> Column:

@@ -50,20 +50,23 @@ def sentence_repeats(text: str) -> bool:
         body = body or (nxt[-1] if len(nxt) > 1 else "")
         if body and "\n" not in body and pieces[j].endswith(body):
             return True
-    if len(set(pieces)) == n:
+    # a longer X: its second copy begins in a piece with leading space
+    begins = np.array([len(b) < len(p) and "\n" not in b for b, p in zip(bodies, pieces)])
+    if len(set(pieces)) == n or not begins.any():
         return False
     ids = {p: k for k, p in enumerate(pieces)}
     code = np.array([ids[p] for p in pieces])
     one_line = np.array(["\n" not in p for p in pieces])
     for m in range(2, (n - 1) // 2 + 1):
         same = (code[:-m] == code[m:]) & one_line[m:]
+        if not same.any():
+            continue
         breaks = np.concatenate(([0], np.cumsum(~same)))
         # pieces a+1 .. a+m-1 equal those m further on, and piece a+2m-1 ends in a full stop
         starts = np.arange(0, n - 2 * m)
-        for a in starts[breaks[starts + m] == breaks[starts + 1]]:
-            body, nxt = bodies[a + m], pieces[a + m]
-            if len(body) < len(nxt) and "\n" not in body and pieces[a].endswith(body):
-                return True
+        fits = begins[starts + m] & (breaks[starts + m] == breaks[starts + 1])
+        if any(pieces[a].endswith(bodies[a + m]) for a in starts[fits]):
+            return True
     return False
 
 

@@ -20,7 +20,7 @@ def one_line(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim white space of any kind on both ends."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++$", "")
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -49,8 +49,11 @@ def letters_only(text: Column, ascii_only: bool = False) -> Column:
     return F.regexp_replace(F.lower(text), f"[^{keep}{SPACE}]", "")
 
 
+# A run of punctuation is only tried from its first character, which keeps the
+# work linear however long the run is.
+_MARK = f"[^{WORD}{SPACE}]"
 _EDGE_PUNCTUATION = (
-    f"(?:^|(?<=[{SPACE}]))[^{WORD}{SPACE}]+|[^{WORD}{SPACE}]+(?=[{SPACE}]|$)"
+    f"(?:^|(?<=[{SPACE}])){_MARK}++|(?<!{_MARK}){_MARK}++(?=[{SPACE}]|$)"
 )
 
 

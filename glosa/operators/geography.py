@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from glosa.functions import emoji, geo
 from glosa.functions.spam import is_true
-from glosa.session import compute_once
+from glosa.session import broadcast_if_small, compute_once
 from glosa.vocab.countries import country_table
 from glosa.vocab.words import GEO_KEYWORDS_BASIC
 
@@ -74,6 +74,11 @@ def best_hits(df: DataFrame, keep_text: bool = False, id_column: str = "comment_
     )
 
 
+def _dimension(countries: DataFrame | None, spark) -> DataFrame:
+    """The literal country table (under 200 rows) for broadcast, or the caller's after counting it."""
+    return F.broadcast(country_table(spark)) if countries is None else broadcast_if_small(countries)
+
+
 def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFrame | None = None) -> DataFrame:
     """One row per video and distinct text that names a country.
 
@@ -82,15 +87,14 @@ def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFra
     texts are grouped by their SHA-256, so that only digests are shuffled.
     """
     spark = df.sparkSession
-    countries = countries or country_table(spark)  # a literal table of under 200 rows
+    flags = _dimension(countries, spark).select(F.col("alpha2").alias("_alpha2"), F.col("country").alias("_flagged"))
     t = F.col(TEXT)
     by_words = F.when(geo.has_keyword(t, GEO_KEYWORDS_BASIC) | geo.has_basic_location(t), geo.country_of_text(t))
     found = compute_once(
         df.withColumn("_alpha2", emoji.flag_alpha2(geo.first_flag(t))),
         {"_named": by_words, "_key": t if keep_text else F.sha2(t, 256)},
     )
-    flags = countries.select(F.col("alpha2").alias("_alpha2"), F.col("country").alias("_flagged"))
-    joined = found.join(F.broadcast(flags), "_alpha2", "left")
+    joined = found.join(flags, "_alpha2", "left")
     rows = joined.select(
         "comment_id", "video", "_key",
         is_true(F.col("spam_label")).alias("is_spam"),
@@ -108,8 +112,7 @@ def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFra
 def country_counts(unified: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     """Comments per video and country, with the alpha-3 code; countries without one are left out."""
     counts = unified.groupBy("video", "country").agg(F.count("*").alias("n"))
-    countries = countries or country_table(unified.sparkSession)
-    return counts.join(F.broadcast(countries.select("country", "alpha3")), "country")
+    return counts.join(_dimension(countries, unified.sparkSession).select("country", "alpha3"), "country")
 
 
 def selection_cube(unified: DataFrame) -> DataFrame:

@@ -123,3 +123,21 @@ def test_rule_filter_on_whole_documents(spark):
     rows = c.select("comment_id", "original_comment", "y").collect()
     kept = {r.comment_id for r in spam.rule_filter(c, year=F.col("y")).collect()}
     assert kept == {r.comment_id for r in rows if brute_force_keeps(r.original_comment, r.y)}
+
+
+def test_long_runs_take_linear_time(spark):
+    """Texts that make careless patterns quadratic or recursive."""
+    n = 200_000
+    texts = ["漢" * n, "!" * n + "a", " " * n + "a b" + " " * n + "c", "a漢" * n, "no. " * 2000 + "x", "." * 3000, "x" * n, "é! " * n]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(8)
+    t = F.col("t")
+    sizes = df.select(
+        "i", F.length(emoji.extract(t)).alias("e"), F.length(emoji.remove(t)).alias("r"), F.size(T.words(t)).alias("w"),
+        F.length(T.strip(t)).alias("s"), F.length(T.clean(t)).alias("c"), T.repeated_runs(t).alias("runs"),
+        spam.repeated_word(t).alias("rw"), spam.letter_run(t).alias("lr"), F.size(geo.locations(t)).alias("l"),
+        spam.repeated_sentence(t).alias("rs"),
+    )
+    rows = {r.i: r for r in sizes.collect()}
+    assert rows[0].e == 0 and rows[0].r == n and rows[3].w == 1
+    assert rows[1].w == 1 and rows[2].w == 3 and rows[2].s == n + 4
+    assert rows[4].rs and not rows[5].rs and rows[6].runs == 1
