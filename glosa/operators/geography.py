@@ -115,6 +115,12 @@ def country_counts(unified: DataFrame, countries: DataFrame | None = None) -> Da
     return counts.join(_dimension(countries, unified.sparkSession).select("country", "alpha3"), "country")
 
 
+def country_counts_by_selection(cube: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+    """Comments per video, spam and emotion selection and country, over all years, with the alpha-3 code."""
+    counts = cube.groupBy("video", "spam_mode", "emotion_mode", "country").agg(F.sum("n").alias("n"))
+    return counts.join(_dimension(countries, cube.sparkSession).select("country", "alpha3"), "country")
+
+
 def selection_cube(unified: DataFrame) -> DataFrame:
     """Counts per (video, year, country) for every spam and emotion selection, 'All' included.
 

@@ -335,6 +335,17 @@ def country_counts(spark, sf):
     return geography.country_counts(unified).select("video", "country", "alpha3", "n")
 
 
+@query(
+    "A20_country_counts_by_selection",
+    with_(COMMENTS, UNIFIED, CUBE)
+    + """SELECT video, spam_mode, emotion_mode, c.country, alpha3, CAST(sum(n) AS BIGINT) AS n
+FROM cube c JOIN country ON c.country = name GROUP BY ALL""",
+)
+def country_counts_by_selection(spark, sf):
+    cube = geography.selection_cube(geography.unified_countries(views.comments(spark, sf)))
+    return geography.country_counts_by_selection(cube)
+
+
 @query("A21_selection_cube", with_(COMMENTS, UNIFIED, CUBE) + "SELECT * FROM cube")
 def selection_cube(spark, sf):
     return geography.selection_cube(geography.unified_countries(views.comments(spark, sf)))

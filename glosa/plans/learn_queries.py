@@ -220,8 +220,8 @@ def best_topic_match(spark, sf):
 @query(
     "U04_set_sizes",
     f"""WITH sets AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS words, turn FROM conversations)
-SELECT a.conv_id, a.turn, len(list_intersect(a.words, b.words)) AS shared,
-  len(list_distinct(list_concat(a.words, b.words))) AS either
+SELECT a.conv_id, a.turn, CAST(len(list_intersect(a.words, b.words)) AS INTEGER) AS shared,
+  CAST(len(list_distinct(list_concat(a.words, b.words))) AS INTEGER) AS either
 FROM sets a JOIN sets b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
 )
 def set_sizes(spark, sf):

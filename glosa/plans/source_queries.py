@@ -24,7 +24,7 @@ def raw_csv(spark, sf, *drop, **options):
 @query(
     "S01_csv_scan",
     with_(COMMENTS, RAW)
-    + f"""SELECT comment_id, length({t}) AS n_chars, published_at, coalesce(spam_label, 'unknown') AS spam_label, 'unknown' AS emotion_label
+    + f"""SELECT comment_id, CAST(length({t}) AS INTEGER) AS n_chars, published_at, coalesce(spam_label, 'unknown') AS spam_label, 'unknown' AS emotion_label
 FROM raw WHERE {t} IS NOT NULL AND published_at IS NOT NULL""",
 )
 def csv_scan(spark, sf):

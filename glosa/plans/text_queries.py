@@ -98,7 +98,7 @@ def drop_nulls(spark, sf):
 register(
     "P02_length_band",
     lambda c: c.filter(filters.length_between(comment())).select("comment_id", F.length(comment()).alias("n_chars")),
-    f"SELECT comment_id, length({t}) AS n_chars FROM comments WHERE length({t}) BETWEEN 3 AND 10000",
+    f"SELECT comment_id, CAST(length({t}) AS INTEGER) AS n_chars FROM comments WHERE length({t}) BETWEEN 3 AND 10000",
 )
 register(
     "P02_length_min_10",
@@ -301,7 +301,7 @@ FROM (SELECT NOT ({sql_has(t, vocab.SPAM_COMMON)} OR {sql_runs(f'lower({t})', 4)
 @query(
     "P17_scoring_input",
     with_(COMMENTS, RAW)
-    + """SELECT comment_id, length(original_comment) AS n_chars FROM raw
+    + """SELECT comment_id, CAST(length(original_comment) AS INTEGER) AS n_chars FROM raw
 WHERE coalesce(spam_label, '') <> 'spam' AND original_comment IS NOT NULL AND trim(original_comment) <> ''""",
 )
 def scoring_input(spark, sf):
