@@ -53,7 +53,7 @@ def letters_only(text: Column, ascii_only: bool = False) -> Column:
 # work linear however long the run is.
 _MARK = f"[^{WORD}{SPACE}]"
 _EDGE_PUNCTUATION = (
-    f"(?:^|(?<=[{SPACE}])){_MARK}++|(?<!{_MARK}){_MARK}++(?=[{SPACE}]|$)"
+    f"(?={_MARK})(?:(?:^|(?<=[{SPACE}])){_MARK}++|(?<!{_MARK}){_MARK}++(?=[{SPACE}]|$))"
 )
 
 
