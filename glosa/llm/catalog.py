@@ -5,6 +5,9 @@ from __future__ import annotations
 from glosa.llm import (  # noqa: F401  (importing registers)
     bpe_codec,
     common,
+    quality_classifier,
+    quality_rules,
+    simhash,
     token_counts,
 )
 
