@@ -5,6 +5,7 @@ from __future__ import annotations
 from glosa.llm import (  # noqa: F401  (importing registers)
     bpe_codec,
     common,
+    decontamination,
     quality_classifier,
     quality_rules,
     simhash,
