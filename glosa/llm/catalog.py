@@ -8,6 +8,7 @@ from glosa.llm import (  # noqa: F401  (importing registers)
     decontamination,
     quality_classifier,
     quality_rules,
+    secrets,
     simhash,
     token_counts,
 )
