@@ -10,6 +10,7 @@ from glosa.llm import (  # noqa: F401  (importing registers)
     quality_rules,
     secrets,
     simhash,
+    substring_dedup,
     token_counts,
 )
 
