@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glosa.llm import (  # noqa: F401  (importing registers)
     bpe_codec,
+    chat_formatting,
     common,
     decontamination,
     quality_classifier,
