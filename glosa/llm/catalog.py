@@ -7,6 +7,7 @@ from glosa.llm import (  # noqa: F401  (importing registers)
     chat_formatting,
     common,
     decontamination,
+    lm_scoring,
     quality_classifier,
     quality_rules,
     secrets,
