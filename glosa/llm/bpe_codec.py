@@ -243,11 +243,12 @@ def decode(ids: Column, path: str, pattern: str | None = None) -> Column:
     return run(ids)
 
 
-def round_trip(text: Column, path: str, pattern: str | None = None) -> Column:
-    """Struct of n_tokens, ids_sha256 and decoded_sha256: encoded, decoded, only the digests returned."""
+def round_trip(text: Column, path: str, pattern: str | None = None, with_ids: bool = False) -> Column:
+    """Struct of n_tokens, ids_sha256 and decoded_sha256 (and ``token_ids``): encoded, then decoded."""
     pattern = pattern or public_pattern()
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(schema + ", token_ids array<int>" if with_ids else schema)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path, pattern)
         for batch in series:
@@ -257,8 +258,10 @@ def round_trip(text: Column, path: str, pattern: str | None = None) -> Column:
                 decoded = own.decode([ids for _, ids in coded])
                 for (line, ids), raw in zip(coded, decoded, strict=True):
                     digest = hashlib.sha256(line.encode()).hexdigest()
-                    rows.append((len(ids), digest, hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                    row = (len(ids), digest, hashlib.sha256(raw).hexdigest())
+                    rows.append((*row, ids) if with_ids else row)
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+            yield pd.DataFrame(rows, columns=names[: 3 + with_ids])
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -268,6 +271,12 @@ def with_digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", round_trip(F.col("text"), path).alias("coded")).select("doc_id", "coded.*")
 
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, ids_sha256 and decoded_sha256 for every document."""
+    coded = docs.select("doc_id", round_trip(F.col("text"), path, with_ids=True).alias("coded_"))
+    return coded.select("doc_id", "coded_.n_tokens", "coded_.token_ids", "coded_.ids_sha256", "coded_.decoded_sha256")
+
+
 @common.query("op5_bpe_codec")
 def op5_bpe_codec(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
