@@ -6,9 +6,6 @@ takes each word's minimum-rank pair, the leftmost of equal ones, contracts it an
 that changed until none does.  A document's ids are those of its pre-tokens in order.  Decoding turns ids
 into (document, pos, id) rows, joins them to the vocabulary and concatenates the bytes in the order of pos.
 
-Order inside DuckDB: one thread, rows registered in (word, pos) order; scans, hash-join probes and filters
-keep that order, so ``lead() OVER ()`` sees the neighbour.  The tests compare with the public library.
-
 Defined results: a null or empty text has no ids and decodes to no bytes; rows are independent, so ties,
 repeated rows, empty tables and further columns change nothing.  Work on one pre-token grows with the
 square of its length; words over ``LONG_WORD`` bytes are run by themselves, in rounds of bounded size.
@@ -50,9 +47,9 @@ WITH RECURSIVE step(word, pos, token, turn) AS (
     (WITH least AS (
         SELECT word, min((merged::{kind} << (2 * {bits})) | (pos::{kind} << {bits}) | next_pos) AS cut
         FROM (
-            SELECT word, pos, (token::BIGINT << 20) | lead(token) OVER () AS pair,
-                   lead(pos) OVER () AS next_pos, lead(word) OVER () AS next_word
-            FROM step
+            SELECT word, pos, (token::BIGINT << 20) | lead(token) OVER places AS pair,
+                   lead(pos) OVER places AS next_pos, lead(word) OVER places AS next_word
+            FROM step WINDOW places AS (ORDER BY word, pos)
         ) JOIN merges USING (pair)
         WHERE word = next_word
         GROUP BY word
@@ -71,8 +68,8 @@ FROM step JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) USING (w
 SHORT, ANY_LENGTH = ENCODE.format(kind="BIGINT", bits=20), ENCODE.format(kind="HUGEINT", bits=32)
 
 DECODE = """
-SELECT doc, string_agg(bytes, '' ) AS hex
-FROM (SELECT doc, id FROM ids ORDER BY doc, pos) JOIN vocabulary USING (id)
+SELECT doc, string_agg(bytes, '') AS hex
+FROM (SELECT doc, bytes FROM ids JOIN vocabulary USING (id) ORDER BY pos)
 GROUP BY doc
 """
 
