@@ -65,7 +65,7 @@ def boost(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, rounds: int = ROUNDS
     """Trees for the logistic loss."""
     share = y.mean() if len(y) else 0.5
     inner, leaves = 2**depth - 1, 2**depth
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         start = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return Trees(start, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)))
     n, d = x.shape
