@@ -34,7 +34,7 @@ from glosa.session import written
 SIDE, BUCKETS = 64, 512
 WORDS = SIDE * SIDE - BUCKETS  # words with a number of their own
 REACH, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 2048, 0.08
+ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.08
 #: Tokens scored at once, distinct words held before they are sent on, weights in one row, tasks per average.
 BLOCK, HELD_WORDS, SLOT, FAN_IN = 8192, 500_000, 8192, 64
 PAD = SIDE * SIDE
