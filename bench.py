@@ -7,6 +7,7 @@ are computed in full and handed to the ``noop`` sink.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -46,7 +47,10 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", cores, int(cores) if cores.isdigit() else 8)
+    n = int(cores) if cores.isdigit() else 8
+    work = tempfile.mkdtemp(prefix="glosa-bench-")
+    # three tasks per core even out texts of very different length
+    spark = build_session("bench", cores, n, work=work, spread=3 * n)
     spark.sparkContext.setLogLevel("ERROR")
     plans = catalog.queries()
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").count()

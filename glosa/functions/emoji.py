@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from glosa.vocab.emoji import SKIN_TONES, emoji_class, emoji_names
 from glosa.vocab.words import FLAG_NAMES
@@ -61,27 +59,33 @@ def flag_alpha2(flag: Column) -> Column:
 def name_text(emojis: Column, before: str = ":", after: str = ":") -> Column:
     """Short names of the emoji in a string; a skin tone joins the emoji before it.
 
-    A dictionary lookup per character, batched through Arrow, and only over the
-    already extracted emoji of each row.
+    One lookup per character of the already extracted emoji: a tone that follows an
+    emoji other than a tone is joined by an underscore, everything else stands apart.
     """
-    names = emoji_names()
-    tones = {chr(cp) for cp in SKIN_TONES}
-
-    @pandas_udf("string")
-    def to_names(batch: pd.Series) -> pd.Series:
-        def spell(text):
-            if text is None:
-                return None
-            parts: list[str] = []
-            previous_is_tone = True
-            for char in text:
-                if char in tones and not previous_is_tone:
-                    parts[-1] += "_" + names[char]
-                else:
-                    parts.append(names.get(char, char))
-                previous_is_tone = char in tones
-            return "".join(before + p + after for p in parts)
-
-        return batch.map(spell, na_action="ignore")
-
-    return to_names(emojis)
+    names = F.create_map(*[F.lit(x) for pair in emoji_names().items() for x in pair])
+    tones = [chr(cp) for cp in SKIN_TONES]
+
+    def spell(chars: Column) -> Column:
+        def joins(i: Column) -> Column:
+            return F.coalesce(F.get(chars, i).isin(tones) & (i > 0) & ~F.get(chars, i - 1).isin(tones), F.lit(False))
+
+        def one(char: Column, i: Column) -> Column:
+            name = F.coalesce(F.element_at(names, char), char)
+            left = F.when(joins(i), "_").otherwise(before)
+            return F.concat(left, name, F.when(joins(i + 1), "").otherwise(after))
+
+        return F.array_join(F.transform(chars, one), "")
+
+    return F.get(F.transform(F.array(characters(emojis)), spell), 0)
+
+
+def spell_in_place(text: Column, before: str = "", after: str = " ") -> Column:
+    """The text with every emoji replaced by its short name."""
+    run = F.lit(f"(?:(?![{_PLAIN}]){EMOJI})+")
+    runs = F.regexp_extract_all(text, run, F.lit(0))
+    pieces = F.zip_with(
+        F.split(text, f"(?:(?![{_PLAIN}]){EMOJI})+", -1),
+        F.transform(runs, lambda r: name_text(r, before, after)),
+        lambda plain, name: F.concat(F.coalesce(plain, F.lit("")), F.coalesce(name, F.lit(""))),
+    )
+    return F.when(text.rlike(EMOJI), F.array_join(pieces, "")).otherwise(text)

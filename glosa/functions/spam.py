@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
 from glosa.functions import text as T
 from glosa.functions.patterns import SPACE, WORD, contains_any
@@ -34,45 +30,48 @@ def repeated_word(text: Column) -> Column:
     return F.lower(text).rlike(REPEATED_WORD)
 
 
-def sentence_repeats(text: str) -> bool:
+def repeated_sentence(text: Column) -> Column:
     """True if some piece X of one line stands as ``X. X.``.
 
-    Pieces between full stops are compared instead of running a back-reference,
-    which would be quadratic in the length of the line.
+    Pieces between full stops are compared instead of running a back-reference:
+    first each piece with the next one, then, only where a piece occurs twice at
+    all, runs of m pieces with the m pieces after them.
     """
-    pieces = text.split(".")
-    n = len(pieces)
-    bodies = [p.lstrip() for p in pieces]
-    for j in range(n - 2):
-        nxt, body = pieces[j + 1], bodies[j + 1]
-        if len(body) == len(nxt):
-            continue
-        body = body or (nxt[-1] if len(nxt) > 1 else "")
-        if body and "\n" not in body and pieces[j].endswith(body):
-            return True
-    # a longer X: its second copy begins in a piece with leading space
-    begins = np.array([len(b) < len(p) and "\n" not in b for b, p in zip(bodies, pieces)])
-    if len(set(pieces)) == n or not begins.any():
-        return False
-    ids = {p: k for k, p in enumerate(pieces)}
-    code = np.array([ids[p] for p in pieces])
-    one_line = np.array(["\n" not in p for p in pieces])
-    for m in range(2, (n - 1) // 2 + 1):
-        same = (code[:-m] == code[m:]) & one_line[m:]
-        if not same.any():
-            continue
-        breaks = np.concatenate(([0], np.cumsum(~same)))
-        # pieces a+1 .. a+m-1 equal those m further on, and piece a+2m-1 ends in a full stop
-        starts = np.arange(0, n - 2 * m)
-        fits = begins[starts + m] & (breaks[starts + m] == breaks[starts + 1])
-        if any(pieces[a].endswith(bodies[a + m]) for a in starts[fits]):
-            return True
-    return False
-
-
-@pandas_udf(BooleanType())
-def repeated_sentence(batch: pd.Series) -> pd.Series:
-    return batch.map(lambda t: t is not None and sentence_repeats(t))
+    line_break = F.lit("\n")
+
+    def search(row: Column) -> Column:
+        pieces, bodies = row["pieces"], row["bodies"]
+        n = F.size(pieces)
+
+        def indented(i: Column) -> Column:
+            return F.length(F.get(bodies, i)) < F.length(F.get(pieces, i))
+
+        def next_repeats(j: Column) -> Column:
+            following, body = F.get(pieces, j + 1), F.get(bodies, j + 1)
+            last = F.when(F.length(following) > 1, F.right(following, F.lit(1))).otherwise("")
+            body = F.when(body != "", body).otherwise(last)
+            return indented(j + 1) & (body != "") & ~F.contains(body, line_break) & F.endswith(F.get(pieces, j), body)
+
+        def run_repeats(m: Column) -> Column:
+            def at(a: Column) -> Column:
+                body, inner = F.get(bodies, a + m), F.slice(pieces, a + 2, m - 1)
+                return (
+                    indented(a + m) & ~F.contains(body, line_break) & F.endswith(F.get(pieces, a), body)
+                    & (inner == F.slice(pieces, a + m + 2, m - 1))
+                    & ~F.exists(inner, lambda x: F.contains(x, line_break))
+                )
+
+            return F.exists(F.sequence(F.lit(0), n - 2 * m - 1), at)
+
+        near = (n >= 3) & F.exists(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), next_repeats)
+        longest = F.floor((n - 1) / 2).cast("int")
+        twice = (longest >= 2) & (F.size(F.array_distinct(pieces)) < n)
+        return near | (twice & F.exists(F.sequence(F.lit(2), F.greatest(longest, F.lit(2))), run_repeats))
+
+    split = F.split(text, "\\.", -1)
+    bodies = F.transform(split, lambda x: F.regexp_replace(x, f"^[{SPACE}]+", ""))
+    rows = F.array(F.struct(split.alias("pieces"), bodies.alias("bodies")))
+    return F.coalesce(F.contains(text, F.lit(".")) & F.exists(rows, search), F.lit(False))
 
 
 def rule_filter(df, text: str = "original_comment", year: Column | None = None):
@@ -85,7 +84,7 @@ def rule_filter(df, text: str = "original_comment", year: Column | None = None):
     kept = df.filter(
         (F.length(T.strip(t)) >= 3) & ~spam_word(t, year) & ~letter_run(t) & ~repeated_word(t)
     )
-    return kept.withColumn("cleaned", F.lower(t)).filter(~repeated_sentence("cleaned"))
+    return kept.withColumn("cleaned", F.lower(t)).filter(~repeated_sentence(F.col("cleaned")))
 
 
 def is_true(flag: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glosa.functions.emoji import spell_in_place
 from glosa.functions.patterns import SPACE, WORD, contains_any, contains_word
 from glosa.vocab import words as vocab
 
@@ -135,6 +136,6 @@ def topic_flag(text: Column, topic_words=tuple(vocab.TOURISM_EXTENDED), miss: in
 
 
 def travel_text(text: Column, travel_words=tuple(vocab.TRAVEL)) -> Column:
-    """Cleaned text if it mentions travel, else null."""
-    bare = clean(text)
+    """Cleaned text, emoji spelled out, if it mentions travel, else null."""
+    bare = clean(spell_in_place(remove_urls(text)))
     return F.when(contains_word(bare, travel_words), bare)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from glosa.functions import emoji, geo
 from glosa.functions.spam import is_true
-from glosa.session import broadcast_if_small, compute_once
+from glosa.session import compute_once
 from glosa.vocab.countries import country_table
 from glosa.vocab.words import GEO_KEYWORDS_BASIC
 
@@ -74,12 +74,12 @@ def best_hits(df: DataFrame, keep_text: bool = False, id_column: str = "comment_
     )
 
 
-def _dimension(countries: DataFrame | None, spark) -> DataFrame:
-    """The literal country table (under 200 rows) for broadcast, or the caller's after counting it."""
-    return F.broadcast(country_table(spark)) if countries is None else broadcast_if_small(countries)
+def _dimension(countries: list[tuple] | None, spark) -> DataFrame:
+    """The literal country table, the standard one or the caller's (alpha2, alpha3, name) rows, for broadcast."""
+    return F.broadcast(country_table(spark, countries))
 
 
-def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFrame | None = None) -> DataFrame:
+def unified_countries(df: DataFrame, keep_text: bool = False, countries: list[tuple] | None = None) -> DataFrame:
     """One row per video and distinct text that names a country.
 
     A flag wins over words; the country comes from the first flag pair, else from
@@ -88,8 +88,8 @@ def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFra
     """
     spark = df.sparkSession
     flags = _dimension(countries, spark).select(F.col("alpha2").alias("_alpha2"), F.col("country").alias("_flagged"))
-    t = F.col(TEXT)
-    by_words = F.when(geo.has_keyword(t, GEO_KEYWORDS_BASIC) | geo.has_basic_location(t), geo.country_of_text(t))
+    t, names = F.col(TEXT), [name for _, _, name in countries] if countries else None
+    by_words = F.when(geo.has_keyword(t, GEO_KEYWORDS_BASIC) | geo.has_basic_location(t), geo.country_of_text(t, names=names))
     found = compute_once(
         df.withColumn("_alpha2", emoji.flag_alpha2(geo.first_flag(t))),
         {"_named": by_words, "_key": t if keep_text else F.sha2(t, 256)},
@@ -109,13 +109,13 @@ def unified_countries(df: DataFrame, keep_text: bool = False, countries: DataFra
     return first.select("video", *[f"row.{f}" for f in fields], *text)
 
 
-def country_counts(unified: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+def country_counts(unified: DataFrame, countries: list[tuple] | None = None) -> DataFrame:
     """Comments per video and country, with the alpha-3 code; countries without one are left out."""
     counts = unified.groupBy("video", "country").agg(F.count("*").alias("n"))
     return counts.join(_dimension(countries, unified.sparkSession).select("country", "alpha3"), "country")
 
 
-def country_counts_by_selection(cube: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+def country_counts_by_selection(cube: DataFrame, countries: list[tuple] | None = None) -> DataFrame:
     """Comments per video, spam and emotion selection and country, over all years, with the alpha-3 code."""
     counts = cube.groupBy("video", "spam_mode", "emotion_mode", "country").agg(F.sum("n").alias("n"))
     return counts.join(_dimension(countries, cube.sparkSession).select("country", "alpha3"), "country")

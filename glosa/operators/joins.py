@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosa.functions.patterns import WORD
-from glosa.session import broadcast_if_small
 
 
 def dictionary_match(df: DataFrame, text: str, entries: DataFrame, entry: str) -> DataFrame:
@@ -15,7 +14,7 @@ def dictionary_match(df: DataFrame, text: str, entries: DataFrame, entry: str) -
     Texts become runs of words with their separators, as long as the longest
     entry, made distinct inside the row; they meet the dictionary in an
     equi-join.  There is no pass over the text per entry, so the dictionary may be
-    of any size: it is broadcast only while its counted rows allow it.
+    of any size; Spark chooses how to join.
     """
     n_words = F.size(F.regexp_extract_all(entry, F.lit(f"[{WORD}]+"), F.lit(0)))
     longest = entries.agg(F.max(n_words)).first()[0] or 1
@@ -29,7 +28,7 @@ def dictionary_match(df: DataFrame, text: str, entries: DataFrame, entry: str) -
 
     runs = F.array_distinct(F.flatten(F.array(*[runs_of(k) for k in range(1, longest + 1)])))
     keyed = split.select(*[c for c in df.columns if c != text], F.explode(runs).alias("_run"))
-    lowered = broadcast_if_small(entries.select(entry, F.lower(entry).alias("_run")))
+    lowered = entries.select(entry, F.lower(entry).alias("_run"))
     return keyed.join(lowered, "_run").drop("_run")
 
 

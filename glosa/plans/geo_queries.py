@@ -14,7 +14,6 @@ from glosa.plans.text_queries import (
     sql_hits, sql_r6, t,
 )
 from glosa.plans.views import COMMENTS, with_
-from glosa.session import broadcast_if_small
 from glosa.vocab import words as vocab
 from glosa.vocab.countries import country_rows, flag_of
 
@@ -297,7 +296,7 @@ LEFT JOIN (SELECT c_nationkey, count(*) AS c_count FROM customer GROUP BY 1) ON
 def dimension_lookup(spark, sf):
     nation, region = views.table(spark, sf, "nation"), views.table(spark, sf, "region")
     counts = views.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c_count"))
-    named = nation.join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     joined = named.join(counts, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return joined.select("n_nationkey", "n_name", "r_name", "c_count")
 

@@ -77,9 +77,9 @@ EMOJI = emoji.EMOJI
 NOT_EMOJI = "[^" + EMOJI[1:]
 
 
-def register(name, plan, sql):
+def register(name, plan, sql, *ctes):
     """Row-level query over the comments."""
-    query(name, with_(COMMENTS) + sql)(lambda spark, sf: plan(views.comments(spark, sf, labelled=False)))
+    query(name, with_(COMMENTS, *ctes) + sql)(lambda spark, sf: plan(views.comments(spark, sf, labelled=False)))
 
 
 # ---------------------------------------------------------------- P: filters
@@ -185,13 +185,33 @@ FROM comments""",
 )
 
 
-@query("P09_rule_spam_filter")
+_NEXT = """len(list_filter(range(1, len(p) - 1), lambda j: len(b[j + 1]) < len(p[j + 1])
+  AND CASE WHEN b[j + 1] <> '' THEN b[j + 1] WHEN len(p[j + 1]) > 1 THEN right(p[j + 1], 1) ELSE '' END <> ''
+  AND NOT contains(CASE WHEN b[j + 1] <> '' THEN b[j + 1] ELSE right(p[j + 1], 1) END, chr(10))
+  AND suffix(p[j], CASE WHEN b[j + 1] <> '' THEN b[j + 1] ELSE right(p[j + 1], 1) END))) > 0"""
+_RUNS = """len(list_distinct(p)) < len(p) AND len(list_filter(range(2, (len(p) - 1) // 2 + 1), lambda m:
+  len(list_filter(range(1, len(p) - 2 * m + 1), lambda a: len(b[a + m]) < len(p[a + m]) AND NOT contains(b[a + m], chr(10))
+    AND suffix(p[a], b[a + m]) AND p[a + 1 : a + m - 1] = p[a + m + 1 : a + 2 * m - 1]
+    AND NOT contains(array_to_string(p[a + 1 : a + m - 1], '.'), chr(10)))) > 0)) > 0"""
+SENTENCES = f"""pieces AS MATERIALIZED (SELECT *, list_transform(p, lambda x: {sub('x', f'^[{SPACE}]+')}) AS b
+  FROM (SELECT *, string_split(lower({t}), '.') AS p FROM comments)),
+sentences AS MATERIALIZED (SELECT *, ({_NEXT}) OR ({_RUNS}) AS repeated_sentence FROM pieces)"""
+
+
+@query(
+    "P09_rule_spam_filter",
+    with_(COMMENTS, SENTENCES)
+    + f"""SELECT comment_id, lower({t}) AS cleaned FROM sentences WHERE NOT repeated_sentence
+  AND length({sub(t, f'^[{SPACE}]+|[{SPACE}]+$')}) >= 3 AND NOT ({sql_has(t, vocab.SPAM_COMMON)} OR {_SPAM_BY_YEAR_SQL})
+  AND {sql_runs(f'lower({t})', 4)} = 0 AND len(list_filter(list_zip({_TOKENS}, {_TOKENS}[2:], {_TOKENS}[3:]),
+    lambda z: z[1] = z[3] AND regexp_matches(z[1], '^[{WORD}]') AND regexp_matches(z[2], '^[{SPACE}]'))) = 0""",
+)
 def rule_spam_filter(spark, sf):
     kept = spam.rule_filter(views.comments(spark, sf, labelled=False), year=F.year("published_at"))
     return kept.select("comment_id", "cleaned")
 
 
-@query("P09_repeated_sentence")
+@query("P09_repeated_sentence", with_(COMMENTS, SENTENCES) + "SELECT comment_id, repeated_sentence FROM sentences")
 def repeated_sentence(spark, sf):
     c = views.comments(spark, sf, labelled=False)
     return c.select("comment_id", spam.repeated_sentence(F.lower(t)).alias("repeated_sentence"))
@@ -281,14 +301,6 @@ def code_labels(spark, sf):
     )
 
 
-register(
-    "P15_travel_filter",
-    lambda c: c.filter(F.col("detected_language") == "en")
-    .select("comment_id", T.travel_text(comment()).alias("cleaned"))
-    .filter("cleaned IS NOT NULL"),
-    f"""SELECT comment_id, cleaned FROM (SELECT comment_id, {sql_clean(t)} AS cleaned FROM comments
-  WHERE detected_language = 'en') WHERE {sql_has_word('cleaned', vocab.TRAVEL)}""",
-)
 register(
     "P16_removal_report",
     lambda c: filters.removal_report(c, ~(spam.spam_word(comment()) | spam.letter_run(comment()))),
@@ -349,6 +361,28 @@ word AS (SELECT comment_id, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITI
 spelled AS (SELECT comment_id, w, string_agg(name, '_' ORDER BY i) AS name FROM word GROUP BY 1, 2)"""
 
 
+_TRAVEL = f"""bare AS (SELECT comment_id, string_split({sub(t, T.URL)}, '') AS chars FROM comments WHERE detected_language = 'en'),
+letter AS (SELECT comment_id, ch, i, name, ch IN ({', '.join(sql_text(chr(c)) for c in SKIN_TONES)}) AS is_tone,
+    regexp_matches(ch, '^{EMOJI}$') AS is_emoji
+  FROM (SELECT comment_id, unnest(chars) AS ch, generate_subscripts(chars, 1) AS i FROM bare) LEFT JOIN names USING (ch)),
+joined AS (SELECT *, coalesce(is_tone AND lag(is_emoji AND NOT is_tone) OVER places, false) AS joins
+  FROM letter WINDOW places AS (PARTITION BY comment_id ORDER BY i)),
+spelled_text AS (SELECT comment_id, string_agg(piece, '' ORDER BY i) AS spelled FROM (
+  SELECT comment_id, i, CASE WHEN NOT is_emoji THEN ch ELSE CASE WHEN joins THEN '_' ELSE '' END || coalesce(name, ch)
+    || CASE WHEN coalesce(lead(joins) OVER (PARTITION BY comment_id ORDER BY i), false) THEN '' ELSE ' ' END END AS piece
+  FROM joined) GROUP BY 1)"""
+register(
+    "P15_travel_filter",
+    lambda c: c.filter(F.col("detected_language") == "en")
+    .select("comment_id", T.travel_text(comment()).alias("cleaned"))
+    .filter("cleaned IS NOT NULL"),
+    f"""SELECT comment_id, cleaned FROM (SELECT comment_id, {sql_clean('spelled')} AS cleaned FROM spelled_text)
+  WHERE {sql_has_word('cleaned', vocab.TRAVEL)}""",
+    f"names(ch, name) AS (VALUES {sql_rows(_NAMES.items())})",
+    _TRAVEL,
+)
+
+
 @query(
     "F03_emoji_names",
     with_(COMMENTS, _NAME_SQL)

@@ -1,7 +1,7 @@
 """The shared inputs of the queries, derived from the driver tables, in both dialects.
 
 ``comments`` reads every document with its whole text and appends one phrase
-chosen by ``doc_id % 20``, so that each word list has hits, misses and overlaps.
+chosen by ``doc_id % 26``, so that each word list has hits, misses and overlaps.
 """
 
 from __future__ import annotations
@@ -31,7 +31,15 @@ PHRASES = [
     " that was nice. that was nice.",
     " 😂😂 @friend WOW!!!!!!",
     " sending love from Germany 🇩🇪 to England",
+    " love from Puerto Rico and Hong Kong",
+    " hi from Taiwan 🇹🇼",
+    " visit 🇵🇷 now",
+    " soy una cristiana y musulmana",
+    " city food 🔥👍🏽 yum",
+    " Love from Hong Kong",
 ]
+#: Every so many documents the phrases start again; the last numbers have none.
+CYCLE = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +56,12 @@ def comments(spark: SparkSession, sf_dir: str, labelled: bool = True, text: bool
     emotion_label, like_count.  ``labelled=False`` leaves the label join out and
     ``text=False`` the text column, for plans that need neither."""
     docs = table(spark, sf_dir, "documents").select("doc_id", *(["text"] if text else []), "lang")
-    docs = spread(docs, "doc_id") if text else docs
+    docs = spread(docs, "doc_id", "text") if text else docs
     if labelled:
         labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
         docs = docs.join(labels, "doc_id", "left")
     i = F.col("doc_id")
-    phrase = F.coalesce(_pick(PHRASES, (i % 20).cast("int")), F.lit(""))
+    phrase = F.coalesce(_pick(PHRASES, (i % CYCLE).cast("int")), F.lit(""))
     hours = (i * 79 % 87600).cast("int")
     columns = {
         "comment_id": i,
@@ -75,7 +83,7 @@ _PHRASE_CASE = " ".join(f"WHEN {n} THEN {sql_text(p)}" for n, p in enumerate(PHR
 COMMENTS = f"""comments AS MATERIALIZED (
   SELECT d.doc_id AS comment_id,
     CASE WHEN d.doc_id % 3 = 0 THEN 'video_b' ELSE 'video_a' END AS video,
-    d.text || CASE d.doc_id % 20 {_PHRASE_CASE} ELSE '' END AS original_comment,
+    d.text || CASE d.doc_id % {CYCLE} {_PHRASE_CASE} ELSE '' END AS original_comment,
     TIMESTAMP '2016-01-01 00:00:00' + to_hours(CAST(d.doc_id * 79 % 87600 AS INTEGER)) AS published_at,
     d.lang AS detected_language,
     CASE l.toxic WHEN 1 THEN 'spam' WHEN 0 THEN 'not_spam' END AS spam_label,

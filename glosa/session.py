@@ -1,17 +1,25 @@
-"""Session helpers: builder, shared work folder, task spreading, size-checked broadcast."""
+"""Session helpers: builder, shared work folder, spreading of few splits, columns computed once."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app: str = "glosa", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own."""
+#: Setting: into how many tasks the queries deal the rows of the ``documents`` scan; unset, the scan's splits stay.
+SPREAD = "spark.glosa.spread"
+
+
+def build_session(
+    app: str = "glosa", cores: str = "*", shuffle_partitions: int = 8, work: str | None = None, spread: int | None = None
+) -> SparkSession:
+    """A local session for tests and the bench; clusters bring their own.
+
+    ``work`` is the shared folder for written tables (``spark.checkpoint.dir``).
+    """
+    own = {"spark.checkpoint.dir": work, SPREAD: spread}
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,6 +29,7 @@ def build_session(app: str = "glosa", cores: str = "*", shuffle_partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(map={k: str(v) for k, v in own.items() if v})
         .getOrCreate()
     )
 
@@ -28,33 +37,21 @@ def build_session(app: str = "glosa", cores: str = "*", shuffle_partitions: int
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for files that several tasks must see.
 
-    It lies under ``spark.checkpoint.dir``.  Only a local session without that
-    setting falls back to a temporary folder, because there driver and
-    executors are the same machine.
+    It lies under ``spark.checkpoint.dir``; where that is unset, under the warehouse,
+    the other folder that driver and executors share.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "glosa-work")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small scan as many tasks as there are cores.
+def spread(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Deal the rows into as many tasks as ``spark.glosa.spread`` says; without the setting, as they come.
 
-    A scan with fewer splits than cores holds at most one split's worth of data
-    per core, so shuffling it by its unique key is cheap and lets all cores work
-    on the text.  A large scan already has enough splits and is left alone, so
-    pruning and push-down reach its files.  ``compute_once`` keeps text filters
-    above the shuffle; without it they would run in the few scan tasks.
+    It is for tables that are one file with one row group.  ``compute_once`` keeps filters on
+    the text above the exchange; without it they would run in the single scan task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        texts = {f.name: F.col(f.name) for f in df.schema if f.dataType.simpleString() == "string"}
-        # three tasks per core even out texts of very different length
-        return compute_once(df.repartition(3 * cores, key), texts)
-    return df
+    tasks = df.sparkSession.conf.get(SPREAD, None)
+    return compute_once(df.repartition(int(tasks), key), {text: F.col(text)}) if tasks else df
 
 
 def written(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -68,17 +65,6 @@ def written(df: DataFrame, purpose: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
-
-    The count stops reading at ``max_rows + 1`` rows; beyond that the join keeps
-    Spark's own choice (shuffled, skew-handled by adaptive execution).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def compute_once(df: DataFrame, columns: dict) -> DataFrame:
     """Add columns that later filters must not evaluate again.
 

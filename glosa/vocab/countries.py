@@ -1,13 +1,12 @@
-"""Country table: alpha-2 code, alpha-3 code and English short name.
+"""Country table: alpha-2 code, alpha-3 code and English short name of all 249 ISO 3166-1 entries.
 
-Covers the United Nations member states.  ``country_table`` accepts another
-table of the same shape for callers who need territories as well.
+``country_table`` accepts another table of the same shape.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 # ---------------------------------------------------------------- fixed values
-# ISO 3166-1 alpha-2, alpha-3, short name; in alpha-3 order
+# ISO 3166-1 alpha-2, alpha-3, short name; in alpha-3 order: United Nations members
 ISO_3166 = """
 AF|AFG|Afghanistan
 AO|AGO|Angola
@@ -203,12 +202,71 @@ ZA|ZAF|South Africa
 ZM|ZMB|Zambia
 ZW|ZWE|Zimbabwe
 """
+# the other entries of ISO 3166-1: territories and states outside the United Nations
+ISO_3166_OTHERS = """
+AW|ABW|Aruba
+AI|AIA|Anguilla
+AX|ALA|Åland Islands
+AS|ASM|American Samoa
+AQ|ATA|Antarctica
+TF|ATF|French Southern Territories
+BQ|BES|Bonaire, Sint Eustatius and Saba
+BL|BLM|Saint Barthélemy
+BM|BMU|Bermuda
+BV|BVT|Bouvet Island
+CC|CCK|Cocos (Keeling) Islands
+CK|COK|Cook Islands
+CW|CUW|Curaçao
+CX|CXR|Christmas Island
+KY|CYM|Cayman Islands
+EH|ESH|Western Sahara
+FK|FLK|Falkland Islands (Malvinas)
+FO|FRO|Faroe Islands
+GG|GGY|Guernsey
+GI|GIB|Gibraltar
+GP|GLP|Guadeloupe
+GL|GRL|Greenland
+GF|GUF|French Guiana
+GU|GUM|Guam
+HK|HKG|Hong Kong
+HM|HMD|Heard Island and McDonald Islands
+IM|IMN|Isle of Man
+IO|IOT|British Indian Ocean Territory
+JE|JEY|Jersey
+MO|MAC|Macao
+MF|MAF|Saint Martin (French part)
+MP|MNP|Northern Mariana Islands
+MS|MSR|Montserrat
+MQ|MTQ|Martinique
+YT|MYT|Mayotte
+NC|NCL|New Caledonia
+NF|NFK|Norfolk Island
+NU|NIU|Niue
+PN|PCN|Pitcairn
+PR|PRI|Puerto Rico
+PS|PSE|Palestine, State of
+PF|PYF|French Polynesia
+RE|REU|Réunion
+GS|SGS|South Georgia and the South Sandwich Islands
+SH|SHN|Saint Helena, Ascension and Tristan da Cunha
+SJ|SJM|Svalbard and Jan Mayen
+PM|SPM|Saint Pierre and Miquelon
+SX|SXM|Sint Maarten (Dutch part)
+TC|TCA|Turks and Caicos Islands
+TK|TKL|Tokelau
+TW|TWN|Taiwan, Province of China
+UM|UMI|United States Minor Outlying Islands
+VA|VAT|Holy See (Vatican City State)
+VG|VGB|Virgin Islands, British
+VI|VIR|Virgin Islands, U.S.
+WF|WLF|Wallis and Futuna
+"""
 # ------------------------------------------------------------ end fixed values
 
 
 def country_rows() -> list[tuple[str, str, str]]:
-    """(alpha2, alpha3, name) in table order."""
-    return [tuple(line.split("|")) for line in ISO_3166.strip().splitlines()]
+    """(alpha2, alpha3, name), members first, each part in table order."""
+    return [tuple(line.split("|")) for part in (ISO_3166, ISO_3166_OTHERS) for line in part.strip().splitlines()]
 
 
 def flag_of(alpha2: str) -> str:
