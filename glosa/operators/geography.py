@@ -10,7 +10,7 @@ from glosa.functions import emoji, geo
 from glosa.functions.spam import is_true
 from glosa.session import compute_once
 from glosa.vocab.countries import country_table
-from glosa.vocab.words import GEO_KEYWORDS_BASIC
+from glosa.vocab.words import EMOTIONS, GEO_KEYWORDS_BASIC
 
 TEXT = "original_comment"
 
@@ -58,20 +58,22 @@ def all_hits(df: DataFrame, text: str = TEXT) -> DataFrame:
 def best_hits(df: DataFrame, keep_text: bool = False, id_column: str = "comment_id") -> DataFrame:
     """One row per distinct text, with its most confident method.
 
-    Confidence depends on the text alone, so the best method is chosen inside the
-    row; what is left is one aggregation per text, which combines before the
-    shuffle and so takes any number of copies of one text.  Without ``keep_text``
-    the texts are grouped by their SHA-256 and only digests are shuffled.
+    Method, confidence and detail depend on the text alone, so the best is chosen inside the row and
+    grouped with it; the other columns are those of the smallest id, in buffers of fixed width where they
+    are no strings.  Copies of a text combine before the shuffle.  Without ``keep_text`` the texts are
+    grouped by their SHA-256 and only digests are shuffled.
     """
     key = F.col(TEXT) if keep_text else F.sha2(TEXT, 256)
     found = with_hits(df).filter(F.size("hits") > 0)
-    columns = [c for c in df.columns if c != TEXT]
-    payload = F.struct(*columns, F.array_max("hits").alias("best"))
-    first = found.groupBy(key.alias("_key")).agg(F.min_by(payload, F.col(id_column)).alias("row"))
-    text = [F.col("_key").alias(TEXT)] if keep_text else []
-    return first.select(
-        *[f"row.{c}" for c in columns], *text, "row.best.method", "row.best.confidence", "row.best.detail"
+    columns = [c for c in df.columns if c not in (TEXT, id_column)]
+    best = F.array_max("hits")
+    hit = found.select(key.alias("_key"), id_column, *columns, best["method"].alias("method"),
+                       best["confidence"].alias("confidence"), best["detail"].alias("detail"))
+    first = hit.groupBy("_key", "method", "confidence", "detail").agg(
+        F.min(id_column).alias(id_column), *[F.min_by(c, id_column).alias(c) for c in columns]
     )
+    text = [F.col("_key").alias(TEXT)] if keep_text else []
+    return first.select(id_column, *columns, *text, "method", "confidence", "detail")
 
 
 def _dimension(countries: list[tuple] | None, spark) -> DataFrame:
@@ -79,34 +81,48 @@ def _dimension(countries: list[tuple] | None, spark) -> DataFrame:
     return F.broadcast(country_table(spark, countries))
 
 
-def unified_countries(df: DataFrame, keep_text: bool = False, countries: list[tuple] | None = None) -> DataFrame:
+def unified_countries(
+    df: DataFrame, labels: DataFrame | None = None, keep_text: bool = False, countries: list[tuple] | None = None
+) -> DataFrame:
     """One row per video and distinct text that names a country.
 
-    A flag wins over words; the country comes from the first flag pair, else from
-    the text of comments with a basic keyword or place.  Without ``keep_text`` the
-    texts are grouped by their SHA-256, so that only digests are shuffled.
+    A flag wins over words; the country comes from the first flag pair, else from the text of comments with a
+    basic keyword or place.  Countries are found first; rows without one go, and with them the texts: what is
+    grouped is a digest (unless ``keep_text``) with numbers, so the buffers have a fixed width.  ``labels``
+    (comment_id, spam_label) are joined to what is left; without them ``df`` has the column.
     """
-    spark = df.sparkSession
-    flags = _dimension(countries, spark).select(F.col("alpha2").alias("_alpha2"), F.col("country").alias("_flagged"))
-    t, names = F.col(TEXT), [name for _, _, name in countries] if countries else None
+    spark, t = df.sparkSession, F.col(TEXT)
+    rows = country_table(spark, countries).select("alpha2", "country").collect()  # the literal table
+    names = [r.country for r in rows]
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    of_flag = F.create_map(*[F.lit(x) for i, r in enumerate(rows) for x in (r.alpha2, i)])
+    emotions = F.array(*[F.lit(e) for e in EMOTIONS])
     by_words = F.when(geo.has_keyword(t, GEO_KEYWORDS_BASIC) | geo.has_basic_location(t), geo.country_of_text(t, names=names))
+    spam = [is_true(F.col("spam_label")).alias("is_spam")] if labels is None else []
     found = compute_once(
-        df.withColumn("_alpha2", emoji.flag_alpha2(geo.first_flag(t))),
-        {"_named": by_words, "_key": t if keep_text else F.sha2(t, 256)},
+        df.select("comment_id", "video", *spam, F.year("published_at").alias("year"),
+                  F.array_position(emotions, F.col("emotion_label")).alias("_emotion"), TEXT),
+        {"_flagged": F.element_at(of_flag, emoji.flag_alpha2(geo.first_flag(t))), "_named": F.element_at(number, by_words),
+         "_key": t if keep_text else F.sha2(t, 256)},
+    )
+    located = found.filter("coalesce(_flagged, _named) IS NOT NULL AND year IS NOT NULL").select(
+        "comment_id", "video", "_key", *(["is_spam"] if spam else []), "year", "_emotion",
+        F.coalesce("_flagged", "_named").alias("_country"), F.col("_flagged").isNotNull().alias("_by_flag"),
     )
-    joined = found.join(flags, "_alpha2", "left")
-    rows = joined.select(
-        "comment_id", "video", "_key",
-        is_true(F.col("spam_label")).alias("is_spam"),
-        F.coalesce("emotion_label", F.lit("unknown")).alias("emotion"),
-        F.year("published_at").alias("year"),
-        F.coalesce("_flagged", "_named").alias("country"),
-        F.when(F.col("_flagged").isNotNull(), "flag").otherwise("text").alias("source"),
-    ).filter("country IS NOT NULL AND year IS NOT NULL")
-    fields = ["comment_id", "is_spam", "emotion", "year", "country", "source"]
-    first = rows.groupBy("video", "_key").agg(F.min_by(F.struct(*fields), F.col("comment_id")).alias("row"))
+    fields = [c for c in located.columns if c not in ("comment_id", "video", "_key")]
+    first = located.groupBy("video", "_key").agg(
+        F.min("comment_id").alias("comment_id"), *[F.min_by(c, "comment_id").alias(c) for c in fields]
+    )
+    if labels is not None:
+        flags = labels.select("comment_id", is_true(F.col("spam_label")).alias("is_spam"))
+        first = first.join(flags, "comment_id", "left").fillna(False, ["is_spam"])
     text = [F.col("_key").alias(TEXT)] if keep_text else []
-    return first.select("video", *[f"row.{f}" for f in fields], *text)
+    return first.select(
+        "video", "comment_id", "is_spam",
+        F.coalesce(F.get(emotions, (F.col("_emotion") - 1).cast("int")), F.lit("unknown")).alias("emotion"), "year",
+        F.get(F.array(*[F.lit(n) for n in names]), F.col("_country")).alias("country"),
+        F.when(F.col("_by_flag"), "flag").otherwise("text").alias("source"), *text,
+    )
 
 
 def country_counts(unified: DataFrame, countries: list[tuple] | None = None) -> DataFrame:

@@ -95,18 +95,18 @@ def recommendations(measured: DataFrame, name: str) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Per column: rows, nulls, distinct values.  Wide values are compared by hash."""
+    """Per column: rows, nulls, distinct values.  Values are compared by two 64-bit hashes."""
     long = df.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("h"), F.col(c).isNull().alias("empty"))
+                    F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("h"), F.xxhash64(c, F.lit(1)).alias("g"), F.col(c).isNull().alias("empty"))
                     for c in df.columns
                 ]
             )
         )
     )
-    values = long.groupBy("column", "h", "empty").agg(F.count("*").alias("n"))
+    values = long.groupBy("column", "h", "g", "empty").agg(F.count("*").alias("n"))
     return values.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("empty"), F.col("n")).otherwise(0)).alias("nulls"),
@@ -120,7 +120,8 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5, low: int = 2, high
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
     ).filter("value IS NOT NULL")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    widths = counts.groupBy("column").agg(F.count("*").alias("w")).filter(F.col("w").between(low, high))
-    few = counts.join(F.broadcast(widths.drop("w")), "column")  # one row per column of the table
+    # the high + 1 most frequent values tell both the first k and whether there are more than ``high``
     order = W.partitionBy("column").orderBy(F.desc("n"), "value")
-    return few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    most = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= high + 1)
+    width = F.max("place").over(W.partitionBy("column"))
+    return most.withColumn("_w", width).filter((F.col("place") <= k) & F.col("_w").between(low, high)).drop("_w")

@@ -23,45 +23,54 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int) -> DataFrame:
     return top_per_group(df, [label], [hash_order(key), key], n, spread_key=key)
 
 
-def rank_in_group(df: DataFrame, group: str, order, out: str = "rank") -> DataFrame:
-    """Exact 1-based rank by an md5 string within each group, without sorting a group in one task.
+def cut_offs(df: DataFrame, label: str, order, share: float) -> DataFrame:
+    """(label, cut): the hash of the last of the first ``share`` rows of every class, null where there is none.
 
-    Rows are counted per group and leading four hex digits; a running sum over
-    those counts (at most 65,536 per group) gives the offset of every slice, and
-    only rows of one slice are ranked together.
+    Only labels and hashes are read.  Counts by the leading four hex digits find the slice of the cut, and only
+    the rows of that slice are ranked.
     """
-    sliced = df.withColumns({"_order": order, "_slice": F.substring(order, 1, 4)})
-    counts = sliced.groupBy(group, "_slice").agg(F.count("*").alias("_c"))
-    before = W.partitionBy(group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        group, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
-        F.sum("_c").over(W.partitionBy(group)).alias("group_rows"),
-    )
-    within = F.row_number().over(W.partitionBy(group, "_slice").orderBy("_order"))
-    ranked = sliced.withColumn("_within", within).join(offsets, [group, "_slice"])
-    return ranked.withColumn(out, F.col("_before") + F.col("_within")).drop(
-        "_order", "_slice", "_before", "_within"
+    slim = df.select(F.col(label).alias("_label"), order.alias("_order")).withColumn("_slice", F.substring("_order", 1, 4))
+    counts = slim.groupBy("_label", "_slice").agg(F.count("*").alias("_c"))
+    upto = W.partitionBy("_label").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sliced = counts.select(
+        "_label", "_slice", "_c", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"),
+        F.round(F.sum("_c").over(W.partitionBy("_label")) * share).alias("_want"),
     )
+    at = sliced.filter((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_c")))
+    at = at.select(F.col("_label").alias("_class"), F.col("_slice").alias("_at"), "_before", "_want")
+    same = F.col("_label").eqNullSafe(F.col("_class")) & (F.col("_slice") == F.col("_at"))
+    inside = slim.join(F.broadcast(at), same)  # a row per class
+    ranked = inside.withColumn("_n", F.row_number().over(W.partitionBy("_label").orderBy("_order")))
+    return ranked.filter(F.col("_n") == F.col("_want") - F.col("_before")).select("_label", F.col("_order").alias("_cut"))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float) -> DataFrame:
-    """Adds ``part``: the first ``test_share`` of every class by hashed key is 'test', the rest 'train'."""
-    ranked = rank_in_group(df, label, hash_order(key))
-    is_test = F.col("rank") <= F.round(F.col("group_rows") * test_share)
-    return ranked.withColumn("part", F.when(is_test, "test").otherwise("train")).drop("rank", "group_rows")
+    """Adds ``part``: the first ``test_share`` of every class by hashed key is 'test', the rest 'train'.
+
+    Each row is compared with the cut of its class, so no other column is shuffled.
+    """
+    order = hash_order(key)
+    cuts = F.broadcast(cut_offs(df, label, order, test_share))  # a row per class
+    joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    part = F.when(order <= F.col("_cut"), "test").otherwise("train")
+    return joined.withColumn("part", part).drop("_label", "_cut")
 
 
-def row_range(df: DataFrame, key: str, start: int, end: int, slices: int = 4096) -> DataFrame:
-    """Rows start..end-1 in key order, for an integer key.
+def row_range(df: DataFrame, key: str, start: int, end: int, slices: int = 256) -> DataFrame:
+    """Rows start..end-1 in key order, for an integer key; rows without a key come last, in any order.
 
-    Keys are cut into equal ranges; counts per range locate the rows, so only the
-    ranges that overlap the wanted rows are ranked.
+    Approximate quantiles cut the keys into slices of about as many rows; exact counts per slice locate the
+    rows, so only the slices that overlap the wanted rows are ranked.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()  # two numbers
-    if low is None:
-        return df
-    width = (high - low) // slices + 1
-    sliced = df.withColumn("_slice", F.floor((F.col(key) - low) / width))
+    shares = [k / slices for k in range(1, slices)]
+    bounds, keyed, total = df.agg(F.percentile_approx(key, shares, 100 * slices), F.count(key), F.count("*")).first()
+    low, high = max(0, start - keyed), min(max(0, end - keyed), total - keyed)
+    unkeyed = df.filter(F.col(key).isNull()).limit(max(0, high - low))  # any rows do: they are ties
+    if not keyed:
+        return unkeyed
+    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    with_key = df.filter(F.col(key).isNotNull())
+    sliced = with_key.withColumn("_slice", F.size(F.filter(cuts, lambda b: b < F.col(key))))
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("_c"))
     before = W.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
@@ -69,7 +78,8 @@ def row_range(df: DataFrame, key: str, start: int, end: int, slices: int = 4096)
     within = F.row_number().over(W.partitionBy("_slice").orderBy(key))
     # at most one row per slice is broadcast
     ranked = sliced.join(F.broadcast(wanted), "_slice").withColumn("_n", F.col("_before") + within - 1)
-    return ranked.filter((F.col("_n") >= start) & (F.col("_n") < end)).drop("_slice", "_before", "_n")
+    chosen = ranked.filter((F.col("_n") >= start) & (F.col("_n") < end)).drop("_slice", "_before", "_n")
+    return chosen.unionByName(unkeyed) if high > low else chosen
 
 
 def label_ids(df: DataFrame, label: str) -> DataFrame:

@@ -18,7 +18,7 @@ def fill(template: Column, slots: dict[str, Column]) -> Column:
     """Replaces every ``{slot}`` and capitalises the sentence."""
     for slot, word in slots.items():
         template = F.replace(template, F.lit("{" + slot + "}"), word)
-    return F.concat(F.upper(F.substring(template, 1, 1)), F.lower(F.substring(template, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(template, 1, 1)), F.lower(F.substr(template, F.lit(2))))
 
 
 def sentence(label: str, seed: Column) -> Column:

@@ -86,6 +86,13 @@ def best_hits(spark, sf):
     return geography.best_hits(unlabelled(spark, sf).select("comment_id", "published_at", t))
 
 
+def unified(spark, sf):
+    labels = views.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("comment_id"), views.spam_label(F.col("toxic")).alias("spam_label")
+    )
+    return geography.unified_countries(unlabelled(spark, sf), labels)
+
+
 # ---------------------------------------------------------- extraction and dedupe
 
 
@@ -282,9 +289,9 @@ def country_of_text(spark, sf):
     + """SELECT DISTINCT u.country, alpha3, coalesce(flag, '🏳️') AS flag FROM unified u LEFT JOIN country ON u.country = name""",
 )
 def country_codes(spark, sf):
-    unified = geography.unified_countries(views.comments(spark, sf))
+    rows = unified(spark, sf)
     countries = geography.country_table(spark).select("country", "alpha3", "flag")
-    named = unified.select("country").distinct().join(F.broadcast(countries), "country", "left")
+    named = rows.select("country").distinct().join(F.broadcast(countries), "country", "left")
     return named.fillna("🏳️", ["flag"])
 
 
@@ -320,8 +327,8 @@ def dictionary_match(spark, sf):
     with_(COMMENTS, UNIFIED) + "SELECT comment_id, video, is_spam, emotion, year, country, source FROM unified",
 )
 def unified_countries(spark, sf):
-    unified = geography.unified_countries(views.comments(spark, sf))
-    return unified.select("comment_id", "video", "is_spam", "emotion", "year", "country", "source")
+    rows = unified(spark, sf)
+    return rows.select("comment_id", "video", "is_spam", "emotion", "year", "country", "source")
 
 
 @query(
@@ -330,8 +337,8 @@ def unified_countries(spark, sf):
     + "SELECT video, country, alpha3, count(*) AS n FROM unified JOIN country ON country = name GROUP BY 1, 2, 3",
 )
 def country_counts(spark, sf):
-    unified = geography.unified_countries(views.comments(spark, sf))
-    return geography.country_counts(unified).select("video", "country", "alpha3", "n")
+    rows = unified(spark, sf)
+    return geography.country_counts(rows).select("video", "country", "alpha3", "n")
 
 
 @query(
@@ -341,13 +348,13 @@ def country_counts(spark, sf):
 FROM cube c JOIN country ON c.country = name GROUP BY ALL""",
 )
 def country_counts_by_selection(spark, sf):
-    cube = geography.selection_cube(geography.unified_countries(views.comments(spark, sf)))
+    cube = geography.selection_cube(unified(spark, sf))
     return geography.country_counts_by_selection(cube)
 
 
 @query("A21_selection_cube", with_(COMMENTS, UNIFIED, CUBE) + "SELECT * FROM cube")
 def selection_cube(spark, sf):
-    return geography.selection_cube(geography.unified_countries(views.comments(spark, sf)))
+    return geography.selection_cube(unified(spark, sf))
 
 
 @query(
@@ -357,7 +364,7 @@ def selection_cube(spark, sf):
 FROM cube QUALIFY place <= 5""",
 )
 def top5_countries_per_year(spark, sf):
-    cube = geography.selection_cube(geography.unified_countries(views.comments(spark, sf)))
+    cube = geography.selection_cube(unified(spark, sf))
     return geography.top_countries_per_year(cube)
 
 
@@ -368,7 +375,7 @@ stats AS (SELECT video, year, CAST(sum(n) AS BIGINT) AS total, count(*) AS uniqu
 
 @query("A22_yearly_geo_stats", with_(COMMENTS, UNIFIED, _STATS) + "SELECT * FROM stats")
 def yearly_geo_stats(spark, sf):
-    return geography.yearly_stats(geography.unified_countries(views.comments(spark, sf)))
+    return geography.yearly_stats(unified(spark, sf))
 
 
 @query(
@@ -378,7 +385,7 @@ def yearly_geo_stats(spark, sf):
   max(unique_countries) AS max_countries FROM stats GROUP BY 1""",
 )
 def peak_year(spark, sf):
-    return geography.peak_year(geography.yearly_stats(geography.unified_countries(views.comments(spark, sf))))
+    return geography.peak_year(geography.yearly_stats(unified(spark, sf)))
 
 
 @query(

@@ -558,4 +558,4 @@ _PROFILED = ["detected_language", "spam_label", "emotion_label", "like_count"]
 WHERE "column" IN (SELECT "column" FROM vals GROUP BY 1 HAVING count(*) BETWEEN 2 AND 19) QUALIFY place <= 5""",
 )
 def top_values(spark, sf):
-    return quality.top_values(views.raw_comments(spark, sf), _PROFILED)
+    return quality.top_values(views.raw_comments(spark, sf, text=False), _PROFILED)

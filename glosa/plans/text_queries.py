@@ -114,7 +114,7 @@ register(
 FROM raw WHERE try_cast(published_at AS TIMESTAMP) IS NOT NULL""",
 )
 def parse_dates(spark, sf):
-    raw = views.raw_comments(spark, sf).withColumn("ts", filters.parsed("published_at"))
+    raw = views.raw_comments(spark, sf, labelled=False, text=False).withColumn("ts", filters.parsed("published_at"))
     return raw.filter("ts IS NOT NULL").select(
         "comment_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
     )
@@ -127,7 +127,7 @@ def parse_dates(spark, sf):
 FROM raw WHERE year(try_cast(published_at AS TIMESTAMP)) BETWEEN 2005 AND 2025""",
 )
 def year_range(spark, sf):
-    raw = views.raw_comments(spark, sf).withColumn("ts", filters.parsed("published_at"))
+    raw = views.raw_comments(spark, sf, labelled=False, text=False).withColumn("ts", filters.parsed("published_at"))
     return raw.filter(filters.year_between(F.col("ts"))).select("comment_id", F.year("ts").alias("year"))
 
 
@@ -264,7 +264,7 @@ def language_filter(spark, sf):
 WHERE coalesce(detected_language, 'unknown') <> 'en' OR (CASE WHEN spam_label = 'spam' THEN 1 ELSE 0 END) = 0""",
 )
 def english_spam_removal(spark, sf):
-    c = views.comments(spark, sf)
+    c = views.comments(spark, sf, text=False)
     c = c.withColumn("pred", F.when(F.col("spam_label") == "spam", 1).otherwise(0))
     return filters.english_ham_or_foreign(c, "pred").select("comment_id", "detected_language")
 

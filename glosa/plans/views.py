@@ -51,6 +51,10 @@ def _pick(values, index):
     return F.get(F.array(*[F.lit(v) for v in values]), index)
 
 
+def spam_label(toxic):
+    return F.when(toxic == 1, "spam").when(toxic == 0, "not_spam")
+
+
 def comments(spark: SparkSession, sf_dir: str, labelled: bool = True, text: bool = True) -> DataFrame:
     """comment_id, video, original_comment, published_at, detected_language, spam_label,
     emotion_label, like_count.  ``labelled=False`` leaves the label join out and
@@ -69,9 +73,7 @@ def comments(spark: SparkSession, sf_dir: str, labelled: bool = True, text: bool
         "original_comment": F.concat("text", phrase) if text else None,
         "published_at": F.timestamp_add("HOUR", hours, F.expr("TIMESTAMP_NTZ '2016-01-01 00:00:00'")),
         "detected_language": F.col("lang"),
-        "spam_label": F.when(F.col("toxic") == 1, "spam").when(F.col("toxic") == 0, "not_spam")
-        if labelled
-        else None,
+        "spam_label": spam_label(F.col("toxic")) if labelled else None,
         "emotion_label": F.when(i % 11 != 0, _pick(EMOTIONS, (i % 7).cast("int"))),
         "like_count": i % 97,
     }
@@ -92,20 +94,20 @@ COMMENTS = f"""comments AS MATERIALIZED (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_comments(spark: SparkSession, sf_dir: str, labelled: bool = True, text: bool = True) -> DataFrame:
     """The comments as a fetcher would leave them: text dates, gaps, repeated rows."""
-    c = comments(spark, sf_dir)
+    c = comments(spark, sf_dir, labelled, text)
     i = F.col("comment_id")
     raw = c.select(
         "comment_id",
-        F.when(i % 23 != 0, F.col("original_comment")).alias("original_comment"),
+        *([F.when(i % 23 != 0, F.col("original_comment")).alias("original_comment")] if text else []),
         F.when(i % 29 == 0, F.lit("not a date"))
         .when(i % 31 == 0, F.lit(None))
         .when(i % 37 == 0, F.lit("1999-05-01T00:00:00Z"))
         .otherwise(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .alias("published_at"),
         "detected_language",
-        "spam_label",
+        *(["spam_label"] if labelled else []),
         "emotion_label",
         "like_count",
     )

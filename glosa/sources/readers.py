@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -43,10 +46,14 @@ def filled(column: Column) -> Column:
     return F.when(column != "", column)
 
 
-def read_csv(spark: SparkSession, path, multi_line: bool = True, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path, multi_line: bool = True, schema=None, **options) -> DataFrame:
     """All columns as strings.  ``multi_line=False`` lets one large file be split over tasks;
-    use it for files whose cells hold no line breaks, such as those of ``write_quoted_csv``."""
-    return spark.read.options(**{**CSV, "multiLine": multi_line, **options}).csv(path)
+    use it for files whose cells hold no line breaks, such as those of ``write_quoted_csv``.
+    With ``schema`` (the column names in their order) no header is looked up."""
+    reader = spark.read.options(**{**CSV, "multiLine": multi_line, **options})
+    if schema:
+        reader = reader.schema(Ty.StructType([Ty.StructField(n, Ty.StringType()) for n in schema]))
+    return reader.csv(path)
 
 
 def read_comments(spark: SparkSession, path, multi_line: bool = True, language: str | None = None) -> DataFrame:
@@ -79,20 +86,30 @@ def read_tsv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     return read_csv(spark, path, multi_line, sep="\t")
 
 
+def headers(spark: SparkSession, paths) -> dict[str, tuple[str, ...]]:
+    """Column names of every CSV file under ``paths``: the first line of each, found in one job for all files."""
+    lines = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter="*.csv").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("i"),  # rises with the lines of a split
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "i").alias("line"))
+    return {unquote(r.file): tuple(next(csv.reader([r.line]))) for r in first.collect()}
+
+
 def read_spam_training(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Spam rows of all files that have CONTENT and CLASS columns; other files are left out.
 
-    Headers are looked at file by file, the accepted files are read in one scan.
+    One job finds all headers; files with the same header share a scan.
     """
-    good = [p for p in paths if {"CONTENT", "CLASS"} <= set(read_csv(spark, p).columns)]
-    if not good:
+    frames: dict[tuple, list[str]] = {}
+    for file, names in headers(spark, paths).items():
+        if {"CONTENT", "CLASS"} <= set(names):
+            frames.setdefault(names, []).append(file)
+    if not frames:
         raise ValueError("no training file has CONTENT and CLASS columns")
-    frames = {}
-    for p in good:  # files with the same column order share a scan
-        frames.setdefault(tuple(read_csv(spark, p).columns), []).append(p)
     rows = None
-    for group in frames.values():
-        part = read_csv(spark, group).filter(F.col("CLASS") == "1")
+    for names, group in frames.items():
+        part = read_csv(spark, group, schema=names).filter(F.col("CLASS") == "1")
         part = part.select(F.col("CONTENT").alias("text"), F.lit(1).alias("label"))
         rows = part if rows is None else rows.unionByName(part)
     return rows
@@ -118,9 +135,12 @@ def read_pages(spark: SparkSession, path) -> DataFrame:
     return flatten_pages(spark.read.schema(PAGE).json(path))
 
 
-def read_dump(spark: SparkSession, path) -> DataFrame:
-    """Rows of ``{"comments": [...]}`` files with the union of all keys that occur."""
-    dump = spark.read.option("multiLine", True).json(path)
+def read_dump(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """Rows of ``{"comments": [...]}`` records with the union of all keys that occur.
+
+    A file is one record; with ``multi_line=False`` every line is one, and a file can be split over tasks.
+    """
+    dump = spark.read.option("multiLine", multi_line).json(path)
     return dump.select(F.explode("comments").alias("c")).select("c.*")
 
 

@@ -25,14 +25,24 @@ def ingest_pages(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     _drain(flatten_pages(pages).writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
 
 
-def drop_repeats(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """First row per key; a repeat is recognised up to ``delay`` after the first, which bounds the state."""
-    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def append_new(stream: DataFrame, key: str, order: str, sink: str, checkpoint: str) -> None:
+    """Appends the rows whose key no earlier batch has written, however late they come.
 
+    Of several rows of a key in one batch the first by ``order`` stays.  Only the keys of the sink are
+    read back; a repeated batch looks at the batches before it and replaces its own folder.
+    """
 
-def append_once(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Appends a stream to a Parquet folder."""
-    _drain(stream.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        row = F.min_by(F.struct(*batch.columns), F.col(order)).alias("row")
+        first = batch.groupBy(key).agg(row).select("row.*")
+        if batch_id:
+            schema = f"{batch.schema[key].name} {batch.schema[key].dataType.simpleString()}, batch int"
+            known = spark.read.schema(schema).parquet(sink).filter(F.col("batch") < batch_id)
+            first = first.join(known, key, "left_anti")
+        first.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    _drain(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def score_batches(stream: DataFrame, model, columns: list[str], sink: str, checkpoint: str) -> None:

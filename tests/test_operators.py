@@ -36,17 +36,17 @@ def test_cube_margins_are_sums_of_cells(spark):
     assert not any(k[3] == "unknown" for k in cube)
 
 
-def test_rank_in_group_with_a_hot_group(spark):
-    df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)))
-    ranked = sampling.rank_in_group(df, "g", sampling.hash_order("id")).collect()
+def test_cut_of_a_hot_class_is_exact(spark):
     import hashlib
 
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)))
+    df = df.unionByName(spark.range(5000, 5010).withColumn("g", F.lit(None).cast("string")))
     groups = defaultdict(list)
-    for r in ranked:
-        groups[r.g].append((hashlib.md5(str(r.id).encode()).hexdigest(), r["rank"], r.group_rows))
+    for r in sampling.stratified_split(df, "g", "id", 0.3).collect():
+        groups[r.g].append((hashlib.md5(str(r.id).encode()).hexdigest(), r.part))
     for members in groups.values():
-        assert [r for _, r, _ in sorted(members)] == list(range(1, len(members) + 1))
-        assert {n for _, _, n in members} == {len(members)}
+        wanted = int(0.3 * len(members) + 0.5)
+        assert [p for _, p in sorted(members)] == ["test"] * wanted + ["train"] * (len(members) - wanted)
 
 
 def test_split_is_stratified(spark):
@@ -69,6 +69,28 @@ def test_row_range(spark, start, end):
     assert got == ids[start:end]
 
 
+def test_row_range_with_outliers_and_missing_keys(spark):
+    ids = [*range(500), 10**15, None, None, None]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
+    for start, end in ((0, 2), (498, 502), (500, 600), (503, 504)):
+        got = [r.id for r in sampling.row_range(df, "id", start, end).collect()]
+        assert sorted(got, key=lambda i: (i is None, i or 0)) == ids[start:end]
+    empty = spark.createDataFrame([(None,)] * 5, "id long")
+    assert sampling.row_range(empty, "id", 0, 2).count() == 2 and sampling.row_range(empty, "id", 3, 9).count() == 2
+
+
+def test_territories_are_countries(spark):
+    texts = ["visit 🇵🇷 now", "love from Puerto Rico", "hi from Taiwan 🇹🇼", "Love from Hong Kong"]
+    rows = [(i, "v", x, "joy", "not_spam") for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "comment_id long, video string, original_comment string, emotion_label string, spam_label string")
+    df = df.withColumn("published_at", F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00'"))
+    got = {r.comment_id: (r.country, r.source, r.emotion) for r in geography.unified_countries(df).collect()}
+    assert got == {0: ("Puerto Rico", "flag", "joy"), 1: ("Puerto Rico", "text", "joy"),
+                   2: ("Taiwan, Province of China", "flag", "joy"), 3: ("Hong Kong", "text", "joy")}
+    own = geography.unified_countries(df, countries=[("PR", "PRI", "Boriken")]).collect()
+    assert {r.comment_id: r.country for r in own} == {0: "Boriken"}
+
+
 def test_trend_edges(spark):
     rows = [("up", f"20{y}", n) for y, n in zip(range(10, 20), range(10))]
     rows += [("flat", f"20{y}", 5) for y in range(10, 15)] + [("one", "2010", 3)] + [("down", "2010", 9), ("down", "2011", 1)]

@@ -62,31 +62,58 @@ def test_convert_skips_existing_targets(spark):
     assert [r.like_count for r in spark.read.parquet(*first).collect()] == [1]
 
 
-def test_dedupe_over_several_batches(spark):
+def test_no_first_row_is_lost_however_late(spark):
     root = work_dir(spark, "test")
-    rows = spark.range(200).select(F.col("id"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id)").alias("ts"))
-    rows.coalesce(1).write.parquet(f"{root}/in")
-    rows.filter("id % 2 = 0").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    ingest.append_once(ingest.drop_repeats(stream, "id", "ts", "1 day"), f"{root}/out", f"{root}/cp")
-    assert sorted(r.id for r in spark.read.parquet(f"{root}/out").collect()) == list(range(200))
+    rows = spark.range(15).select(F.col("id"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0,0,0,id)").alias("ts"))
+    for low, high in ((10, 15), (0, 6), (4, 12)):  # days out of order, some twice
+        rows.filter(F.col("id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    for _ in range(2):  # a second run finds nothing new
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        ingest.append_new(stream, "id", "ts", f"{root}/out", f"{root}/cp")
+    assert sorted(r.id for r in spark.read.parquet(f"{root}/out").collect()) == list(range(15))
 
 
 def test_work_dir_follows_the_session():
-    class Conf:
-        def __init__(self, folder):
-            self.folder = folder
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.split(".")[1], default)))
 
-        def get(self, key, default=None):
-            return self.folder or default
+    assert work_dir(session(checkpoint="hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    assert work_dir(session(sql="hdfs:///warehouse"), "x").startswith("hdfs:///warehouse/x-")
 
-    def session(folder, master):
-        return SimpleNamespace(conf=Conf(folder), sparkContext=SimpleNamespace(master=master))
 
-    assert work_dir(session("hdfs:///shared/", "yarn"), "x").startswith("hdfs:///shared/x-")
-    assert "glosa-work" in work_dir(session(None, "local[4]"), "x")
-    with pytest.raises(RuntimeError):
-        work_dir(session(None, "yarn"), "x")
+def test_large_integers_stay_exact(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("12.7",), ("x",)], "like_count string")
+    assert [r.like_count for r in conversion.coerce_types(df).collect()] == [9007199254740993, 12, 0]
+
+
+def test_a_hundred_small_files(spark):
+    root = work_dir(spark, "test")
+    rows = spark.range(100).withColumn("view_count", F.col("id").cast("string"))
+    rows.repartition(100, "id").sortWithinPartitions("id").write.partitionBy("id").option("header", True).csv(f"{root}/in")
+    out = conversion.convert_tree(spark, f"{root}/in", f"{root}/out")
+    assert len(out) == 100
+    back = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out")
+    assert sorted(r.view_count for r in back.collect()) == list(range(100))
+    status = conversion.tree_status(spark, f"{root}/in", f"{root}/out").collect()
+    assert len(status) == 100 and {r.status for r in status} == {"ok"}
+    writers.write_csv(spark.createDataFrame([("1", "2")], "a string, b string").coalesce(1), f"{root}/in/late")
+    late = conversion.tree_status(spark, f"{root}/in", f"{root}/out").filter("file LIKE 'late/%'").first()
+    assert late.status == "missing" and late.source_rows == 1 and late.source_columns == 2
+
+
+def test_repeated_keys_are_no_pairs(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (1, "y", 2.0), (2, "z", 3.0), (None, "n", 0.0)], "k long, s string, v double")
+    got = {r.column: (r.compared, r.differing) for r in conversion.compare_tables(a, a, "k").collect()}
+    assert got == {"s": (4, 0), "v": (4, 0)}
+    b = spark.createDataFrame([(1, "x", 1.0), (2, "z", 3.0 + 1e-9), (3, "q", 1.0)], "k long, s string, v double")
+    got = {r.column: (r.compared, r.differing) for r in conversion.compare_tables(a, b, "k").collect()}
+    assert got == {"s": (2, 3), "v": (2, 3)}
+
+
+def test_types_are_compared(spark):
+    a, b = spark.createDataFrame([(1, "x")], "a long, b string"), spark.createDataFrame([(1.0, 2)], "a double, c int")
+    got = {r.column: (r.left_type, r.right_type, r.equal) for r in conversion.compare_types(a, b).collect()}
+    assert got == {"a": ("bigint", "double", False), "b": ("string", None, False), "c": (None, "int", False)}
 
 
 def test_work_dir_reads_the_cluster_setting(spark):
