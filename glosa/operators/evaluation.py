@@ -76,7 +76,6 @@ def accuracy_report(pairs: DataFrame, labels: list[str], *by: str) -> DataFrame:
 
 def cohen_kappa(pairs: DataFrame) -> DataFrame:
     """Agreement beyond chance of two label columns, from their pair counts."""
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
     same = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
     sides = pairs.select(
         F.inline(
@@ -100,12 +99,12 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     )
 
 
-def precision_recall(df: DataFrame, truth: str, scores: dict[str, str], classes: list[str]) -> DataFrame:
+def precision_recall(df: DataFrame, truth: str, scores: dict[str, str], classes: list[str], slices: int = 256) -> DataFrame:
     """Precision and recall of each class at every distinct score.
 
     Rows are first counted per class and score.  The running sums are two-level:
-    within a slice of the score range, then over the slices, so that no task
-    orders all scores of a class.
+    within a slice of the scores, then over the slices.  Approximate quantiles of the distinct scores
+    cut the slices, so no task orders all scores of a class, wherever they pile up.
     """
     long = df.filter(F.col(truth).isNotNull()).select(
         F.inline(
@@ -119,7 +118,10 @@ def precision_recall(df: DataFrame, truth: str, scores: dict[str, str], classes:
         )
     ).filter("threshold IS NOT NULL")
     counts = long.groupBy("label", "threshold").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
-    counts = counts.withColumn("_slice", F.floor(F.col("threshold") * 1000))
+    shares = [k / slices for k in range(1, slices)]
+    bounds = counts.groupBy("label").agg(F.percentile_approx("threshold", shares, 100 * slices).alias("_bounds"))
+    counts = counts.join(F.broadcast(bounds), "label")  # one row per class
+    counts = counts.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col("threshold")))).drop("_bounds")
     slices = counts.groupBy("label", "_slice").agg(F.sum("hits").alias("sh"), F.sum("n").alias("sn"))
     above = W.partitionBy("label").orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
     offsets = slices.select(

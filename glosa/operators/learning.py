@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -9,11 +12,10 @@ from pyspark.ml.feature import (
     IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosa.operators.sampling import hash_order
+from glosa.operators.sampling import hash_order, stratified_split
 from glosa.session import written
 
 MAX_TERMS = 5000
@@ -36,13 +38,16 @@ def features(text: str = "text", bigrams: bool = False, max_terms: int = MAX_TER
     ]
 
 
+def classifier(kind: str, **settings):
+    """Logistic regression or multinomial naive Bayes on ``features``."""
+    if kind == "logistic":
+        return LogisticRegression(**{"maxIter": 100, "regParam": 0.01, **settings})
+    return NaiveBayes(modelType="multinomial", smoothing=1.0)
+
+
 def spam_pipeline(kind: str = "logistic", bigrams: bool = False) -> Pipeline:
     """``label`` 1.0 = spam from ``text``; logistic regression or multinomial naive Bayes."""
-    if kind == "logistic":
-        model = LogisticRegression(maxIter=100, regParam=0.01)
-    else:
-        model = NaiveBayes(modelType="multinomial", smoothing=1.0)
-    return Pipeline(stages=features(bigrams=bigrams) + [model])
+    return Pipeline(stages=[*features(bigrams=bigrams), classifier(kind)])
 
 
 def emotion_pipeline(labels: list[str]) -> Pipeline:
@@ -79,46 +84,74 @@ def score_emotions(model: PipelineModel, df: DataFrame, text: str = "original_co
     )
 
 
-def featurized(df: DataFrame, bigrams: bool = False) -> DataFrame:
-    """key, label and TF-IDF features, written once for the many fits of a search."""
-    model = Pipeline(stages=features(bigrams=bigrams)).fit(df)
-    return written(model.transform(df).select("comment_id", "label", "features"), "features")
+def featurized(train: DataFrame, *others: DataFrame, bigrams: bool = False) -> list[DataFrame]:
+    """label and TF-IDF features of each table, the feature stages fitted on ``train`` alone; written once."""
+    model = Pipeline(stages=features(bigrams=bigrams)).fit(train)
+    return [written(model.transform(rows).select("label", "features"), "features") for rows in (train, *others)]
 
 
-def grid_search(data: DataFrame, seed: int = 42):
-    """Sixteen settings; the one with the best weighted F1 on a held-out fifth."""
-    lr = LogisticRegression()
-    grid = (
-        ParamGridBuilder()
-        .addGrid(lr.regParam, [0.001, 0.01, 0.1, 1.0])
-        .addGrid(lr.elasticNetParam, [0.0, 0.5])
-        .addGrid(lr.maxIter, [20, 50])
-        .build()
-    )
-    search = TrainValidationSplit(
-        estimator=lr, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"),
-        trainRatio=0.8, parallelism=4, seed=seed,
+def measured(model, rows: DataFrame, metric: str) -> float:
+    return round(float(MulticlassClassificationEvaluator(metricName=metric).evaluate(model.transform(rows))), 6)
+
+
+def side_by_side(spark, work, items: list, at_once: int = 4) -> list:
+    """``work(item)`` for all items, a few Spark jobs at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def grid_search(rows: DataFrame, key: str = "comment_id"):
+    """Sixteen settings; the one with the best weighted F1 on a held-out fifth of ``rows`` (text, label).
+
+    The features are fitted on the other four fifths alone.
+    """
+    split = written(stratified_split(rows, "label", key, 0.2), "search-rows")
+    train, held = featurized(split.filter("part = 'train'"), split.filter("part = 'test'"))
+    grid = [
+        {"regParam": reg, "elasticNetParam": net, "maxIter": rounds}
+        for reg in (0.001, 0.01, 0.1, 1.0) for net in (0.0, 0.5) for rounds in (20, 50)
+    ]
+
+    def fit_one(settings: dict):
+        model = classifier("logistic", **settings).fit(train)
+        return model, measured(model, held, "f1")
+
+    fitted = side_by_side(rows.sparkSession, fit_one, grid)
+    best = max(fitted, key=lambda f: f[1])[0]
+    table = [(float(g["regParam"]), g["elasticNetParam"], float(g["maxIter"]), f1) for g, (_, f1) in zip(grid, fitted)]
+    return best, rows.sparkSession.createDataFrame(table, "reg double, elastic_net double, max_iter double, f1 double")
+
+
+def learning_curve(
+    rows: DataFrame, shares=(0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, kinds=("logistic", "bayes"), key: str = "comment_id"
+) -> DataFrame:
+    """Accuracy on training and validation rows by classifier and share of the training rows.
+
+    Rows (text, label) fall into folds and shares by their hashed key.  Every fold and share fits its features on its own
+    training rows alone.
+    """
+    spark, order = rows.sparkSession, hash_order(key)
+
+    def digits(first: int):
+        return F.conv(F.substring(order, first, 8), 16, 10).cast("double") / float(2**32)
+
+    dealt = rows.select("text", "label", F.floor(digits(1) * folds).alias("_fold"), digits(9).alias("_place"))
+    dealt = written(dealt, "curve-rows")
+
+    def one(item) -> list[tuple]:
+        share, fold = item
+        used = dealt.filter((F.col("_fold") != fold) & (F.col("_place") < share))
+        train, held = featurized(used, dealt.filter(F.col("_fold") == fold))
+        n, out = train.count(), []
+        for kind in kinds:
+            model = classifier(kind, maxIter=20).fit(train)
+            out.append((kind, float(share), fold, n, measured(model, train, "accuracy"), measured(model, held, "accuracy")))
+        return out
+
+    found = side_by_side(spark, one, [(s, f) for s in shares for f in range(folds)])
+    schema = "classifier string, share double, fold int, rows long, train double, validation double"
+    each = spark.createDataFrame([row for part in found for row in part], schema)
+    return each.groupBy("classifier", "share").agg(
+        F.avg("rows").cast("long").alias("rows"),
+        *[F.round(f(c), 6).alias(f"{c}_{n}") for c in ("train", "validation") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))],
     )
-    fitted = search.fit(data)
-    names = ["regParam", "elasticNetParam", "maxIter"]
-    rows = [
-        tuple(float(m[lr.getParam(n)]) for n in names) + (round(float(f1), 6),)
-        for m, f1 in zip(grid, fitted.validationMetrics)
-    ]
-    table = data.sparkSession.createDataFrame(rows, "reg double, elastic_net double, max_iter double, f1 double")
-    return fitted.bestModel, table
-
-
-def learning_curve(data: DataFrame, shares=(0.1, 0.325, 0.55, 0.775, 1.0), folds: int = 5, seed: int = 42) -> DataFrame:
-    """Cross-validated accuracy by share of the training rows, in the order of the hashed key."""
-    lr = LogisticRegression(maxIter=20, regParam=0.01)
-    position = F.conv(F.substring(hash_order("comment_id"), 1, 8), 16, 10).cast("double") / float(2**32)
-    rows = []
-    for share in shares:
-        part = data.filter(position < share)
-        cv = CrossValidator(
-            estimator=lr, estimatorParamMaps=[{}], numFolds=folds, parallelism=folds, seed=seed,
-            evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        ).fit(part)
-        rows.append((float(share), part.count(), round(float(cv.avgMetrics[0]), 6), round(float(cv.stdMetrics[0]), 6)))
-    return data.sparkSession.createDataFrame(rows, "share double, rows long, accuracy double, sd double")

@@ -13,6 +13,16 @@ from glosa.session import side_by_side
 SITE_START = "TIMESTAMP_NTZ '2005-01-01 00:00:00'"
 
 
+# ---------------------------------------------------------------- fixed values
+RECOMMENDATIONS = [
+    "Dataset '{name}' needs quality improvements",
+    "Remove duplicate rows from '{name}'",
+    "Handle missing comments in '{name}'",
+    "Fix timestamp parsing errors in '{name}'",
+]
+# ------------------------------------------------------------ end fixed values
+
+
 def row_digests(df: DataFrame) -> list[Column]:
     """Two independent 64-bit hashes over all columns, nulls marked."""
     cells = [c for name in df.columns for c in (F.col(name).isNull(), F.col(name))]
@@ -84,13 +94,9 @@ def scored(measured: DataFrame) -> DataFrame:
 
 def recommendations(measured: DataFrame, name: str) -> DataFrame:
     """One row per rule that applies."""
-    rules = [
-        (F.col("quality_score") < 80, f"Dataset '{name}' needs quality improvements"),
-        (F.col("duplicates") > 0, f"Remove duplicate rows from '{name}'"),
-        (F.col("missing") > 0, f"Handle missing comments in '{name}'"),
-        (F.col("unparseable") > 0, f"Fix timestamp parsing errors in '{name}'"),
-    ]
-    found = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in rules]))
+    tests = [F.col("quality_score") < 80, F.col("duplicates") > 0, F.col("missing") > 0, F.col("unparseable") > 0]
+    rules = zip(tests, RECOMMENDATIONS, strict=True)
+    found = F.array_compact(F.array(*[F.when(c, F.lit(m.format(name=name))) for c, m in rules]))
     return measured.select(F.explode(found).alias("recommendation"))
 
 
@@ -100,7 +106,7 @@ def profile(df: DataFrame) -> DataFrame:
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("h"), F.xxhash64(c, F.lit(1)).alias("g"), F.col(c).isNull().alias("empty"))
+                    F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("h"), F.xxhash64(F.lit(1), c).alias("g"), F.col(c).isNull().alias("empty"))
                     for c in df.columns
                 ]
             )

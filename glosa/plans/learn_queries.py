@@ -17,21 +17,29 @@ from glosa.vocab import words as vocab
 EMOTIONS = vocab.EMOTIONS
 
 
-def spam_rows(spark, sf):
-    """Labelled comments as (comment_id, text, label), split by class into train and test."""
-    c = views.comments(spark, sf).filter("spam_label IS NOT NULL")
-    label = F.when(F.col("spam_label") == "spam", 1.0).otherwise(0.0)
-    rows = c.select("comment_id", F.col(t).alias("text"), label.alias("label"))
-    return written(sampling.stratified_split(rows, "label", "comment_id", 0.2), "spam-rows")
+_SPAM_ROWS: dict[tuple, str] = {}
 
 
-def trained(spark, sf, kind="logistic", bigrams=False):
+def spam_rows(spark, sf):
+    """Labelled comments as (comment_id, text, label, part), split by class; one written table for an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPAM_ROWS:
+        c = views.comments(spark, sf).filter("spam_label IS NOT NULL")
+        label = F.when(F.col("spam_label") == "spam", 1.0).otherwise(0.0)
+        rows = c.select("comment_id", F.col(t).alias("text"), label.alias("label"))
+        path = work_dir(spark, "spam-rows")
+        sampling.stratified_split(rows, "label", "comment_id", 0.2).write.parquet(path)
+        _SPAM_ROWS[key] = path
+    return spark.read.parquet(_SPAM_ROWS[key])
+
+
+def trained(spark, sf, bigrams=False):
     rows = spam_rows(spark, sf)
-    return learning.fit(learning.spam_pipeline(kind, bigrams), rows.filter("part = 'train'")), rows
+    return learning.fit(learning.spam_pipeline("logistic", bigrams), rows.filter("part = 'train'")), rows
 
 
-def spam_report(model, rows, name):
-    scored = model.transform(rows.filter("part = 'test'"))
+def spam_report(model, held, name):
+    scored = model.transform(held)
     truth, guess = F.col("label").cast("int").cast("string"), F.col("prediction").cast("int").cast("string")
     pairs = evaluation.pair_counts(scored.select(truth.alias("t"), guess.alias("p")), "t", "p")
     return evaluation.accuracy_report(pairs, ["0", "1"]).withColumn("model", F.lit(name))
@@ -40,13 +48,15 @@ def spam_report(model, rows, name):
 @query("M01_spam_classifier")
 def spam_classifier(spark, sf):
     model, rows = trained(spark, sf, bigrams=True)
-    return spam_report(model, rows, "logistic")
+    return spam_report(model, rows.filter("part = 'test'"), "logistic")
 
 
 @query("M02_naive_bayes_comparison")
 def naive_bayes_comparison(spark, sf):
-    reports = [spam_report(*trained(spark, sf, kind), kind) for kind in ("logistic", "bayes")]
-    return reports[0].unionByName(reports[1])
+    rows = spam_rows(spark, sf)
+    train, held = learning.featurized(rows.filter("part = 'train'"), rows.filter("part = 'test'"))
+    logistic, bayes = (spam_report(learning.classifier(k).fit(train), held, k) for k in ("logistic", "bayes"))
+    return logistic.unionByName(bayes)
 
 
 @query("M03_spam_scoring")
@@ -78,18 +88,14 @@ def two_stage_labelling(spark, sf):
     )
 
 
-def _vectors(spark, sf):
-    return learning.featurized(spam_rows(spark, sf))
-
-
 @query("M05_learning_curve")
 def learning_curve(spark, sf):
-    return learning.learning_curve(_vectors(spark, sf))
+    return learning.learning_curve(spam_rows(spark, sf).filter("part = 'train'").drop("part"))
 
 
 @query("M06_grid_search")
 def grid_search(spark, sf):
-    return learning.grid_search(_vectors(spark, sf))[1]
+    return learning.grid_search(spam_rows(spark, sf).filter("part = 'train'").drop("part"))[1]
 
 
 @query("M07_emotion_scores")

@@ -264,8 +264,8 @@ SYNTHETIC_TEMPLATES = {
              "I got {word} when I saw {topic}"],
 }
 SYNTHETIC_WORDS = {
-    "anger": ["furious", "angry", "outraged", "annoyed"],
-    "disgust": ["gross", "vile", "nasty", "revolting"],
+    "anger": ["livid", "fuming", "seething", "cross"],
+    "disgust": ["rancid", "foul", "putrid", "ghastly"],
     "fear": ["afraid", "scared", "terrified", "uneasy"],
 }
 SYNTHETIC_TOPICS = ["this whole affair", "the last scene", "that kind of talk", "the noise outside",
