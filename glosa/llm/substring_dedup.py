@@ -35,6 +35,8 @@ from glosa.llm.pretokens import Memo
 
 #: Contract: words of a window.
 WINDOW = 20
+#: Chunks for each shuffle partition; a task holds one chunk at a time.
+CHUNKS = 2
 #: Bytes of text that a packing task gathers before it writes.
 PACK_BYTES = 32_000_000
 MEMO_LIMIT = 400_000
@@ -101,10 +103,11 @@ class Chunk:
         docs = [d for p in packs for d in pickle.loads(zstandard.decompress(p))]
         docs.sort(key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
         self.docs, self.block, self.window = docs, block, window
-        self.words = [common.space_words(text) for _, text in docs]
-        lengths = np.fromiter(map(len, self.words), np.int64, len(docs))
+        # words are not kept: as objects they would take several times the texts
+        hashed = [word_hashes(common.space_words(text)) for _, text in docs]
+        lengths = np.fromiter(map(len, hashed), np.int64, len(docs))
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        self.hashes = np.concatenate([*map(word_hashes, self.words), np.empty((0, 2), np.uint64)])
+        self.hashes = np.concatenate([*hashed, np.empty((0, 2), np.uint64)])
         n = len(self.hashes)
         place = np.arange(n) - np.repeat(self.starts[:-1], lengths)
         left = np.repeat(lengths, lengths) - place
@@ -191,7 +194,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> D
     """Per document: n_words, n_removed, kept_sha256, spans of removed words and (``keep_text``) the kept words."""
     block = (window + 1) // 2
     n = common.parts(docs.sparkSession)
-    bounds = bounds_of(docs, n)
+    bounds = bounds_of(docs, CHUNKS * n)
     packs = pack(docs, bounds).repartition(n, "chunk")
 
     def ask_anchors(table):
@@ -248,9 +251,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> D
         firsts = answer.filter(pc.equal(answer["step"], 2))
         gone = c.removed(spread_bits(firsts, ranges(c.one, n)))
         rows = []
-        for k, (doc, _) in enumerate(c.docs):
+        for k, (doc, value) in enumerate(c.docs):
             mask = gone[c.starts[k] : c.starts[k + 1]]
-            words = c.words[k]
+            words = common.space_words(value)
             spans: list[dict] = []
             if mask.any():
                 change = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
