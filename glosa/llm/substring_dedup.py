@@ -284,6 +284,27 @@ def repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> D
     return out if keep_text else out.drop("kept")
 
 
-@common.query("op1_substring_dedup")
+SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS row, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT row, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS line
+  FROM (SELECT row, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d WHERE len(words) >= {WINDOW})
+), later AS (
+  SELECT row, i FROM windows QUALIFY row_number() OVER (PARTITION BY line ORDER BY row, i) > 1
+), gone AS (
+  SELECT DISTINCT row, unnest(range(i, i + {WINDOW})) AS p FROM later
+), kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY p) AS line, count(*) AS n
+  FROM (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d) ANTI JOIN gone USING (row, p) GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
+
+
+@common.query("op1_substring_dedup", SQL)
 def op1_substring_dedup(spark, sf_dir):
     return repeats(common.table(spark, sf_dir, "documents")).drop("spans")
