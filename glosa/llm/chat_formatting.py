@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,31 +100,45 @@ def shared(a: bytes, b: bytes) -> int:
     return next((k for k in range(n) if a[k * KEY : (k + 1) * KEY] != b[k * KEY : (k + 1) * KEY]), n)
 
 
-def walk(group: pd.DataFrame, own, before: bytes, stack: list[int], offset: int) -> Iterator[tuple]:
-    """Nodes of sorted conversations: (key, parent, depth, offset, position, tokens, loss, ancestors).
+def coded(turns: Column, vocabulary: str, pattern: str) -> Column:
+    """Struct of a conversation's token ids, one turn after another, and per turn their number and loss span."""
+
+    @F.pandas_udf("ids binary, lengths array<int>, low array<int>, high array<int>")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoding(vocabulary, pattern)
+        for batch in series:
+            rows = []
+            for conversation in batch:
+                parts = [tokens_of(t["role"], t["text"], own) for t in conversation]
+                ids = np.concatenate([np.array(p[0], np.int32) for p in parts])
+                rows.append((ids.tobytes(), [len(p[0]) for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
+            yield pd.DataFrame(rows, columns=["ids", "lengths", "low", "high"])
+
+    return run(turns)
+
+
+def walk(group: pd.DataFrame, before: bytes, stack: list[int], offset: int) -> Iterator[tuple]:
+    """Nodes that sorted conversations emit: (row, depth, offset, position, ancestors).
 
     ``before`` is the path of the conversation before the first one and ``stack`` the offsets of its nodes.
     """
-    stack = list(stack)
-    lengths: list[int] = []
-    for path, turns in zip(group["path"], group["turns"], strict=True):
-        common_nodes = shared(before, path)
-        if len(lengths) < common_nodes:  # ancestors that an earlier range emitted
-            lengths = [len(tokens_of(t["role"], t["text"], own)[0]) for t in turns[:common_nodes]]
-        del stack[common_nodes:], lengths[common_nodes:]
-        for depth in range(common_nodes, len(path) // KEY):
-            tokens, low, high = tokens_of(turns[depth]["role"], turns[depth]["text"], own)
+    stack, lengths = list(stack), []
+    for row, (path, own) in enumerate(zip(group["path"], group["lengths"], strict=True)):
+        kept = shared(before, path)
+        if len(lengths) < kept:  # ancestors that an earlier range emitted
+            lengths = [int(n) for n in own[:kept]]
+        del stack[kept:], lengths[kept:]
+        for depth in range(kept, len(own)):
             ancestors: list[list[int]] = []
             for start, length in zip(stack, lengths, strict=True):
                 if ancestors and ancestors[-1][1] == start:
                     ancestors[-1][1] += length
                 else:
                     ancestors.append([start, start + length])
-            key = path[depth * KEY : (depth + 1) * KEY]
-            yield key, depth, offset, sum(lengths), tokens, low, high, ancestors
+            yield row, depth, offset, sum(lengths), ancestors
             stack.append(offset)
-            lengths.append(len(tokens))
-            offset += len(tokens)
+            lengths.append(int(own[depth]))
+            offset += lengths[-1]
         before = path
 
 
@@ -136,25 +151,24 @@ NODES = (
 def tree(distinct: DataFrame, vocabulary: str, pattern: str | None = None) -> DataFrame:
     """The emitted nodes of distinct conversations (path, turns), one row each, with position ids."""
     pattern, n = pattern or public_pattern(), common.parts(distinct.sparkSession)
-    ranged = written(
-        distinct.repartitionByRange(n, "path").withColumn("range", F.spark_partition_id()), "chat-ranges"
-    )
+    tokens = distinct.select("path", coded(F.col("turns"), vocabulary, pattern).alias("coded")).select("path", "coded.*")
+    ranged = written(tokens.repartitionByRange(n, "path").withColumn("range", F.spark_partition_id()), "chat-ranges")
 
     def summary(group: pd.DataFrame) -> pd.DataFrame:
-        group, own = group.sort_values("path"), encoding(vocabulary, pattern)
+        group = group.sort_values("path", ignore_index=True)
         first, last = group["path"].iloc[0], group["path"].iloc[-1]
         open_at: dict[int, int] = {}
-        total, lead = 0, []
-        for _, depth, offset, _, tokens, _, _, _ in walk(group, own, b"", [], 0):
-            open_at[depth], total = offset, offset + len(tokens)
-            if len(lead) == depth and depth < len(first) // KEY:
-                lead.append(len(tokens))
+        total = 0
+        for row, depth, offset, _, _ in walk(group, b"", [], 0):
+            open_at[depth], total = offset, offset + int(group["lengths"].iloc[row][depth])
         ends = [open_at[d] for d in range(len(last) // KEY)]
+        lead = [int(n) for n in group["lengths"].iloc[0]]
         return pd.DataFrame([(int(group["range"].iloc[0]), first, last, lead, ends, total)], columns=columns)
 
     columns = ["range", "first", "last", "lead", "ends", "total"]
     kinds = "range int, first binary, last binary, lead array<long>, ends array<long>, total long"
-    ways = sorted(ranged.groupBy("range").applyInPandas(summary, kinds).collect(), key=lambda r: r["first"])
+    lengths = ranged.select("range", "path", "lengths")  # no texts
+    ways = sorted(lengths.groupBy("range").applyInPandas(summary, kinds).collect(), key=lambda r: r["first"])
     starts: dict[int, tuple[bytes, list[int], int]] = {}
     before, stack, offset = b"", [], 0
     for r in ways:
@@ -167,12 +181,16 @@ def tree(distinct: DataFrame, vocabulary: str, pattern: str | None = None) -> Da
         before = bytes(r["last"])
 
     def emit(group: pd.DataFrame) -> pd.DataFrame:
-        start = starts[int(group["range"].iloc[0])]
-        rows = walk(group.sort_values("path"), encoding(vocabulary, pattern), *start)
+        group = group.sort_values("path", ignore_index=True)
+        out, at = [], [np.concatenate([[0], np.cumsum(n)]) for n in group["lengths"]]
+        for row, depth, offset, position, ancestors in walk(group, *starts[int(group["range"].iloc[0])]):
+            g = group.iloc[row]
+            ids = np.frombuffer(g["ids"], np.int32)[at[row][depth] : at[row][depth + 1]]
+            spans = [{"start": s, "end": e} for s, e in ancestors]
+            key = g["path"][depth * KEY : (depth + 1) * KEY]
+            out.append((key, depth, offset, position, ids, g["low"][depth], g["high"][depth], spans))
         names = ["key", "depth", "offset", "position", "tokens", "loss_from", "loss_to", "ancestors"]
-        out = pd.DataFrame(list(rows), columns=names)
-        out["ancestors"] = out["ancestors"].map(lambda a: [{"start": s, "end": e} for s, e in a])
-        return out
+        return pd.DataFrame(out, columns=names)
 
     nodes = ranged.groupBy("range").applyInPandas(emit, NODES)
     return nodes.withColumn("position_ids", F.sequence(F.col("position"), F.col("position") + F.size("tokens") - 1))
