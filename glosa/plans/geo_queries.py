@@ -8,7 +8,7 @@ from glosa.functions import emoji, geo
 from glosa.functions.patterns import WORD, escape
 from glosa.operators import filters, geography, joins, statistics
 from glosa.plans import views
-from glosa.plans.registry import query, sql_array, sql_list, sql_rows, sql_text
+from glosa.plans.registry import query, sql_array, sql_rows, sql_text
 from glosa.plans.text_queries import (
     SQL_LOCATION_CONF, SQL_LOCATIONS, _FLAG_CASE, _FLAGS, _KEYWORD_CONF, _LOW, sql_has, sql_has_word,
     sql_hits, sql_r6, t,

@@ -10,7 +10,7 @@ from glosa.plans import views
 from glosa.plans.registry import query, sql_array, sql_list, sql_text
 from glosa.plans.text_queries import SPACE, sql_clean, sql_r6, sub, t
 from glosa.plans.views import COMMENTS, with_
-from glosa.session import spread, work_dir, written
+from glosa.session import work_dir, written
 from glosa.streaming import ingest
 from glosa.vocab import words as vocab
 
