@@ -125,55 +125,67 @@ RAW = """raw AS MATERIALIZED (
   FROM (SELECT *, unnest(range(CASE WHEN comment_id % 50 = 7 THEN 2 ELSE 1 END)) FROM comments))"""
 
 
+def _judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """comment_id, label and seven numbers of each labelled vector: ``embeddings`` as a table of judged comments."""
+    rows = table(spark, sf_dir, "embeddings")
+    parts = [F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(len(EMOTIONS))]
+    return rows.select(F.col("vec_id").alias("comment_id"), "label", *parts)
+
+
+# Labels from seven on have no emotion.  The second annotator moves on by one label where the first number is large, and
+# leaves a gap where the second one is small.
+_FIRST = "label"
+_SECOND = "(label + CASE WHEN e0 > 0.15 THEN 1 ELSE 0 END)"
+_GAP = "e1 < -0.2"
+
+
+def _first_label():
+    return _pick(EMOTIONS, F.expr(_FIRST))
+
+
+def _second_label():
+    return F.when(~F.expr(_GAP), _pick(EMOTIONS, F.expr(f"CAST({_SECOND} AS INT)")))
+
+
 def annotations(spark: SparkSession, sf_dir: str, annotator: str) -> DataFrame:
-    """One annotator's labels: a and b differ on every fifth comment and miss different ones."""
-    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"))
-    i = F.col("comment_id")
-    if annotator == "a":
-        label = F.when(i % 11 != 0, _pick(EMOTIONS, (i % 7).cast("int")))
-    else:
-        shift = F.when(i % 5 == 0, 1).otherwise(0)
-        label = F.when(i % 13 != 0, _pick(EMOTIONS, ((i + shift) % 7).cast("int")))
-    return ids.select("comment_id", label.alias("label"))
+    """One annotator's labels: they differ on some comments and miss different ones."""
+    label = _first_label() if annotator == "a" else _second_label()
+    return _judgements(spark, sf_dir).select("comment_id", label.alias("label"))
+
 
+_NUMBERS = ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}" for k in range(len(EMOTIONS)))
+_JUDGED = f"vectors AS MATERIALIZED (SELECT vec_id AS comment_id, label, {_NUMBERS} FROM embeddings)"
+_SECOND_SQL = f"CASE WHEN NOT {_GAP} THEN {sql_array(EMOTIONS)}[1 + {_SECOND}] END"
+ANNOTATIONS = f"""{_JUDGED},
+ann_a AS (SELECT comment_id, {sql_array(EMOTIONS)}[1 + {_FIRST}] AS label FROM vectors),
+ann_b AS (SELECT comment_id, {_SECOND_SQL} AS label FROM vectors)"""
 
-ANNOTATIONS = f"""ann_a AS (
-  SELECT doc_id AS comment_id,
-    CASE WHEN doc_id % 11 <> 0 THEN {sql_array(EMOTIONS)}[1 + doc_id % 7] END AS label FROM documents),
-ann_b AS (
-  SELECT doc_id AS comment_id, CASE WHEN doc_id % 13 <> 0 THEN {sql_array(EMOTIONS)}[
-    1 + (doc_id + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) % 7] END AS label FROM documents)"""
+
+def _score(k: int) -> str:
+    """A score in hundredths from one number, with ties and gaps; the label's own score is raised."""
+    return f"CASE WHEN e{k} >= -0.25 THEN least(100, floor(abs(e{k}) * 200) + CASE WHEN label = {k} THEN 30 ELSE 0 END) / 100.0 END"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """comment_id, two manual labels and seven emotion scores (with ties and gaps)."""
-    a = annotations(spark, sf_dir, "a")
-    i = F.col("comment_id")
-    shift = F.when(i % 5 == 0, 1).otherwise(0)
-    other = F.when(i % 13 != 0, _pick(EMOTIONS, ((i + shift) % 7).cast("int")))
-    emotion_scores = [
-        F.when(i % 17 != 0, ((i * k) % 101) / 100.0).alias(f"emotion_{e}")
-        for k, e in enumerate(EMOTIONS, start=1)
-    ]
-    video = F.when(i % 3 == 0, "video_b").otherwise("video_a")
-    return a.select(
-        "comment_id", video.alias("video"), F.col("label").alias("label_mb"),
-        other.alias("label_eden"), *emotion_scores,
+    rows = _judgements(spark, sf_dir)
+    emotion_scores = [F.expr(_score(k)).cast("double").alias(f"emotion_{e}") for k, e in enumerate(EMOTIONS)]
+    video = F.when(F.col("comment_id") % 3 == 0, "video_b").otherwise("video_a")
+    return rows.select(
+        "comment_id", video.alias("video"), _first_label().alias("label_mb"), _second_label().alias("label_eden"),
+        *emotion_scores,
     )
 
 
 SCORES = (
     ANNOTATIONS
-    + """,
+    + f""",
 scores AS MATERIALIZED (
-  SELECT a.comment_id, CASE WHEN a.comment_id % 3 = 0 THEN 'video_b' ELSE 'video_a' END AS video,
-    a.label AS label_mb, b.label AS label_eden, """
-    + ", ".join(
-        f"CASE WHEN a.comment_id % 17 <> 0 THEN ((a.comment_id * {k}) % 101) / 100.0 END AS emotion_{e}"
-        for k, e in enumerate(EMOTIONS, start=1)
-    )
+  SELECT comment_id, CASE WHEN comment_id % 3 = 0 THEN 'video_b' ELSE 'video_a' END AS video,
+    {sql_array(EMOTIONS)}[1 + {_FIRST}] AS label_mb, {_SECOND_SQL} AS label_eden, """
+    + ", ".join(f"CAST({_score(k)} AS DOUBLE) AS emotion_{e}" for k, e in enumerate(EMOTIONS))
     + """
-  FROM ann_a a JOIN ann_b b ON a.comment_id = b.comment_id)"""
+  FROM vectors)"""
 )
 
 
