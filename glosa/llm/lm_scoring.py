@@ -36,7 +36,8 @@ WORDS = SIDE * SIDE - BUCKETS  # words with a number of their own
 REACH, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.08
 #: Tokens scored at once, distinct words held before they are sent on, weights in one row, tasks per average.
-BLOCK, HELD_WORDS, SLOT, FAN_IN = 8192, 500_000, 8192, 64
+BLOCK, HELD_WORDS, SLOT, FAN_IN = 8192, 200_000, 8192, 64
+TEXTS = 256  # texts that are turned into numbers at once
 PAD = SIDE * SIDE
 
 SHAPES = {
@@ -172,6 +173,13 @@ def padded(texts, number: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows).astype(np.int64), places, np.repeat(np.arange(len(lengths)), lengths)
 
 
+def slices(batches) -> Iterator[list]:
+    """The texts of Arrow batches, a few at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, TEXTS):
+            yield batch.column(0).slice(begin, TEXTS).to_pylist()
+
+
 def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int) -> np.ndarray:
     """One round of local descent on all documents and the average of the tasks' weights."""
 
@@ -182,8 +190,8 @@ def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int
         w, number = from_line(line.copy()), Numbers({x: i for i, x in enumerate(words)})
         squares = {n: np.full(s, 1e-4, np.float32) for n, s in SHAPES.items()}
         seen = 0
-        for batch in batches:
-            tokens, places, owner = padded(batch.column(0).to_pylist(), number)
+        for part in slices(batches):
+            tokens, places, owner = padded(part, number)
             inside = np.arange(len(places)) - np.searchsorted(owner, owner, side="left")
             chosen = places[inside % STRIDE == turn % STRIDE]
             for k in range(0, len(chosen), BATCH):
@@ -235,8 +243,8 @@ def scores(text: Column, words: list[bytes], line: np.ndarray) -> Column:
         w, number = from_line(line), Numbers({x: i for i, x in enumerate(words)})
         for batch in series:
             total, count = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for begin in range(0, len(batch), 256):
-                part = batch.iloc[begin : begin + 256]
+            for begin in range(0, len(batch), TEXTS):
+                part = batch.iloc[begin : begin + TEXTS]
                 tokens, places, owner = padded(part, number)
                 for k in range(0, len(places), BLOCK):
                     at = places[k : k + BLOCK]
