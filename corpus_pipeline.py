@@ -21,6 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each SimHash component."""
+    common.small_batches(spark)
     return simhash.keep_first(docs)
 
 
@@ -39,6 +40,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the bytes they decode to."""
+    common.small_batches(spark)
     return bpe_codec.encoded(docs, common.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 

@@ -28,15 +28,17 @@ from glosa.llm import common
 from glosa.llm.pretokens import public_pattern, splitter
 
 #: Distinct pre-tokens whose ids one Python worker remembers.
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 300_000
+#: Characters of texts worked on at once.
+SLICE = 2_000_000
 #: Bytes of pre-tokens that one recursive query takes, and pre-tokens that go alone.
-QUERY_BYTES, LONG_WORD = 4_000_000, 1_000
+QUERY_BYTES, LONG_WORD = 500_000, 1_000
 #: Token rows that one recursive query may make before its state is carried to the next one.
 ROUND_ROWS = 2_000_000
 #: Ids decoded by one statement.
-DECODE_IDS = 1_000_000
+DECODE_IDS = 500_000
 #: Memory of the DuckDB database in a task.
-DUCKDB_MEMORY = "400MB"
+DUCKDB_MEMORY = "250MB"
 
 #: A pair is left << 20 | right; a contraction is rank << 2k | place << k | place of the right side, with
 #: k of {bits} bits, in {kind}.  The rank of a merge is the id of the merged token.
@@ -169,7 +171,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray]]:
         """For each text its ids, as decimal text joined by commas and as numbers."""
         out = []
-        for begin, end in self._slices([len(t) for t in texts], QUERY_BYTES):
+        for begin, end in self._slices([len(t) for t in texts], SLICE):
             split = [self.find(t) for t in texts[begin:end]]
             seen = set().union(*split)
             new = seen.difference(self.lines)
@@ -250,7 +252,7 @@ def round_trip(text: Column, path: str, pattern: str | None = None, with_ids: bo
         own = codec(path, pattern)
         for batch in series:
             texts, rows = batch.tolist(), []
-            for begin, end in Codec._slices([len(t) for t in texts], QUERY_BYTES):
+            for begin, end in Codec._slices([len(t) for t in texts], SLICE):
                 coded = own.encode(texts[begin:end])
                 decoded = own.decode([ids for _, ids in coded])
                 for (line, ids), raw in zip(coded, decoded, strict=True):

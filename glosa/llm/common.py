@@ -24,7 +24,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Texts in one Arrow batch.  A worker holds a batch as Arrow and as Python strings; Spark's default of 10,000 rows
+#: is meant for short cells.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python workers in batches of ``ARROW_ROWS`` rows at the most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus, with the session set for texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
