@@ -99,9 +99,13 @@ def stages(spark, path: str, work: str, turn: int) -> dict:
     timed("quality_score", lambda: noop(quality.scored(quality.metrics(valid, now))))
     timed("keyword_filter", lambda: noop(valid.filter(geo.has_keyword(text)).select("comment_id")))
     narrow = valid.select("comment_id", "published_at", "original_comment")
-    timed("extract_combine_count", lambda: noop(statistics.period_counts(geography.best_hits(narrow, keep_text=True))))
-    best = geography.best_hits(narrow, keep_text=True)
-    timed("sinks", lambda: best.write.option("header", True).csv(best_path))
+
+    def extract():
+        geography.best_hits(narrow, keep_text=True).write.parquet(best_path)
+        noop(statistics.period_counts(spark.read.parquet(best_path)))
+
+    timed("extract_combine_count", extract)
+    timed("sinks", lambda: spark.read.parquet(best_path).write.option("header", True).csv(f"{best_path}-csv"))
     return out
 
 
