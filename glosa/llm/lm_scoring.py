@@ -8,8 +8,8 @@ with a bias per class.  So a conditional distribution over SIDE * SIDE tokens co
 The vocabulary comes from word counts over all documents: the most frequent words get numbers of their own,
 all others share ``BUCKETS`` numbers by hash.  The output biases start at the log of these counts.  Training
 is local descent with averaging: in each round every task starts from the common weights, trains on its own
-documents (in each document every ``STRIDE``-th position, another offset each round; no document is left out)
-and sends its weights, which are averaged by positions in two steps of grouping, so no group grows with the
+documents (of ``ROUNDS`` rounds each takes every ``ROUNDS``-th position of every document, another offset each
+round, so that together they take every position once) and sends its weights, which are averaged by positions in two steps of grouping, so no group grows with the
 number of tasks.  Only the averaged weights, of fixed size, come to the driver.
 
 Defined results: a null, empty or blank text has no tokens, log_prob 0 and a null mean; equal texts get
@@ -34,7 +34,7 @@ from glosa.session import written
 SIDE, BUCKETS = 64, 512
 WORDS = SIDE * SIDE - BUCKETS  # words with a number of their own
 REACH, WIDTH, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.08
+ROUNDS, BATCH, RATE = 2, 2048, 0.08
 #: Tokens scored at once, distinct words held before they are sent on, weights in one row, tasks per average.
 BLOCK, HELD_WORDS, SLOT, FAN_IN = 8192, 200_000, 8192, 64
 TEXTS = 256  # texts that are turned into numbers at once
@@ -120,42 +120,60 @@ def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([tokens[at + k] for k in around], axis=1)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def log_softmax_at(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of one row in each column; in place."""
+    x -= x.max(axis=0)
+    chosen = x[row, np.arange(x.shape[1])]
+    return chosen - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Of each column; in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
+
+
+def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that share a number ``at``, for the numbers below ``n``."""
+    width = rows.shape[1]
+    places = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(places, rows.ravel(), n * width).reshape(n, width).astype(rows.dtype)
 
 
 def forward(w: dict, context: np.ndarray, target: np.ndarray):
-    """Hidden values, log-probabilities of all classes and of all members of the target's class."""
-    x = w["embed"][context].reshape(len(context), -1)
-    h = np.tanh(x @ w["mix"] + w["mix_bias"])
-    one = log_softmax(h @ w["first"] + w["first_bias"])
-    two = log_softmax(h @ w["second"] + w["second_bias"][target // SIDE])
+    """Inputs by row; by column the hidden values and the outputs for all classes and all members of the target's class."""
+    x = w["embed"].take(context.ravel(), axis=0).reshape(len(context), -1)
+    h = np.tanh(w["mix"].T @ x.T + w["mix_bias"][:, None])
+    one = w["first"].T @ h
+    one += w["first_bias"][:, None]
+    two = w["second"].T @ h
+    two += w["second_bias"].T.take(target // SIDE, axis=1)
     return x, h, one, two
 
 
 def log_probs(w: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     _, _, one, two = forward(w, context, target)
-    rows = np.arange(len(target))
-    return one[rows, target // SIDE] + two[rows, target % SIDE]
+    return log_softmax_at(one, target // SIDE) + log_softmax_at(two, target % SIDE)
 
 
 def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability."""
     x, h, one, two = forward(w, context, target)
-    n, rows = len(target), np.arange(len(target))
-    d_one, d_two = np.exp(one), np.exp(two)
-    d_one[rows, target // SIDE] -= 1
-    d_two[rows, target % SIDE] -= 1
-    d_one, d_two = d_one / n, d_two / n
-    d_h = (d_one @ w["first"].T + d_two @ w["second"].T) * (1 - h * h)
-    members = np.zeros(SHAPES["second_bias"], np.float32)
-    np.add.at(members, target // SIDE, d_two)
-    embed = np.zeros(SHAPES["embed"], np.float32)
-    np.add.at(embed, context.ravel(), (d_h @ w["mix"].T).reshape(-1, WIDTH))
+    n, columns = len(target), np.arange(len(target))
+    d_one, d_two = softmax(one), softmax(two)
+    d_one[target // SIDE, columns] -= 1
+    d_two[target % SIDE, columns] -= 1
+    d_one /= n
+    d_two /= n
+    d_h = (w["first"] @ d_one + w["second"] @ d_two) * (1 - h * h)
+    own_class = np.zeros((n, SIDE), d_two.dtype)
+    own_class[columns, target // SIDE] = 1
+    embed = summed((d_h.T @ w["mix"].T).reshape(-1, WIDTH), context.ravel(), PAD + 1)
     return {
-        "embed": embed, "mix": x.T @ d_h, "mix_bias": d_h.sum(axis=0), "first": h.T @ d_one,
-        "first_bias": d_one.sum(axis=0), "second": h.T @ d_two, "second_bias": members,
+        "embed": embed, "mix": x.T @ d_h.T, "mix_bias": d_h.sum(axis=1), "first": h @ d_one.T,
+        "first_bias": d_one.sum(axis=1), "second": h @ d_two.T, "second_bias": own_class.T @ d_two.T,
     }
 
 
@@ -180,7 +198,13 @@ def slices(batches) -> Iterator[list]:
             yield batch.column(0).slice(begin, TEXTS).to_pylist()
 
 
-def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int) -> np.ndarray:
+def targets(places: np.ndarray, owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places that a round trains on: every ``rounds``-th one of each text, from the ``turn``-th on."""
+    inside = np.arange(len(places)) - np.searchsorted(owner, owner, side="left")
+    return places[inside % rounds == turn]
+
+
+def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """One round of local descent on all documents and the average of the tasks' weights."""
 
     def run(batches):
@@ -192,8 +216,7 @@ def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int
         seen = 0
         for part in slices(batches):
             tokens, places, owner = padded(part, number)
-            inside = np.arange(len(places)) - np.searchsorted(owner, owner, side="left")
-            chosen = places[inside % STRIDE == turn % STRIDE]
+            chosen = targets(places, owner, turn, rounds)
             for k in range(0, len(chosen), BATCH):
                 at = chosen[k : k + BATCH]
                 for name, g in gradients(w, windows(tokens, at), tokens[at]).items():
@@ -231,7 +254,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]
     words, number = vocabulary(docs)
     line = to_line(start_weights(number))
     for turn in range(rounds):
-        line = train_round(docs, words, line, turn * STRIDE // rounds)
+        line = train_round(docs, words, line, turn, rounds)
     return words, line
 
 

@@ -142,6 +142,26 @@ def test_training_lowers_the_loss(spark):
     assert trained > 0.8 * plain.log_prob  # far less negative than from counts alone
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3, lm_scoring.ROUNDS])
+def test_lm_rounds_train_on_every_position(rounds):
+    texts = ["one", "", "a b c d e f g h i j k l m n o p q r s t", None, "x y z"]
+    _, places, owner = lm_scoring.padded(texts, lm_scoring.Numbers())
+    trained = [lm_scoring.targets(places, owner, turn, rounds) for turn in range(rounds)]
+    assert sorted(np.concatenate(trained).tolist()) == places.tolist()
+
+
+def test_lm_training_reaches_every_position(spark):
+    cycle = " ".join(["zero", "one", "two", "three", "four", "five", "six", "seven"] * 20)
+    df = spark.createDataFrame([(i, cycle) for i in range(600)], "doc_id long, text string").coalesce(1)
+    words, line = lm_scoring.fit(df)
+    _, number = lm_scoring.vocabulary(df)
+    tokens, places, _ = lm_scoring.padded([cycle], lm_scoring.Numbers({x: i for i, x in enumerate(words)}))
+    at = places[16:24]  # each word once, well inside the text
+    weights = lm_scoring.from_line(line), lm_scoring.start_weights(number)
+    after, before = (lm_scoring.log_probs(w, lm_scoring.windows(tokens, at), tokens[at]) for w in weights)
+    assert (after > before + 1).all()
+
+
 def test_bpe_codec(docs):
     import tiktoken
 
