@@ -6,7 +6,11 @@ one tanh layer, and a token as a pair (class, member) with two softmax layers of
 with a bias per class.  So a conditional distribution over SIDE * SIDE tokens costs two small products.
 
 The vocabulary comes from word counts over all documents: the most frequent words get numbers of their own,
-all others share ``BUCKETS`` numbers by hash.  The output biases start at the log of these counts.  Training
+all others share ``BUCKETS`` numbers by hash.  The output biases start at the log of these counts.  A word of
+a bucket scores log P(bucket | context) + log P(word | bucket), the latter from the counts of all words: the
+``HOT`` most frequent words are broadcast, the others meet their counts in a join, where each of them has
+less than a ``HOT``-th of all tokens (and a step of ``level``).  These logs are summed as whole numbers
+(``UNIT``), so sums do not depend on an order.  Texts become token numbers once, in a written table.  Training
 is local descent with averaging: in each round every task starts from the common weights, trains on its own
 documents (of ``ROUNDS`` rounds each takes every ``ROUNDS``-th position of every document, another offset each
 round, so that together they take every position once) and sends its weights, which are averaged by positions in two steps of grouping, so no group grows with the
@@ -22,11 +26,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glosa.llm import common
 from glosa.session import written
@@ -38,6 +45,7 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.08
 #: Tokens scored at once, distinct words held before they are sent on, weights in one row, tasks per average.
 BLOCK, HELD_WORDS, SLOT, FAN_IN = 8192, 200_000, 8192, 64
 TEXTS = 256  # texts that are turned into numbers at once
+HOT, UNIT = 262_144, 1_000_000_000  # words whose counts are broadcast, parts of a log that are counted
 PAD = SIDE * SIDE
 
 SHAPES = {
@@ -78,16 +86,105 @@ class Numbers(dict):
         return WORDS + zlib.crc32(word) % BUCKETS
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, and the count of every token number."""
+def bucket() -> Column:
+    return F.crc32("word") % BUCKETS
+
+
+def level() -> Column:
+    """Whole eighths of the binary log of a count, so that a histogram of counts has a few hundred rows."""
+    return F.floor(8 * F.log2("n")).cast("int")
+
+
+@dataclass
+class Lexicon:
+    counts: DataFrame  # (word, n) of all words
+    tail: DataFrame  # those that share numbers
+    words: list[bytes]  # words with numbers of their own
+    number: np.ndarray  # the count of every token number, one more than seen
+    shared: np.ndarray  # the count of every bucket
+
+
+def lexicon(docs: DataFrame) -> Lexicon:
+    """The most frequent words, and the counts of all."""
     counts = written(word_counts(docs), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    words = [bytes(r["word"]) for r in top]
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    number = np.ones(SIDE * SIDE)  # one more than seen, so that nothing has probability zero
+    words, number, shared = [bytes(r["word"]) for r in top], np.ones(SIDE * SIDE), np.zeros(BUCKETS)
     number[: len(words)] += [r["n"] for r in top]
-    number[WORDS:] += max(0, total - sum(r["n"] for r in top)) / BUCKETS
-    return words, number
+    last = (F.lit(top[-1]["n"]), F.lit(bytes(top[-1]["word"]))) if len(top) == WORDS else (F.lit(0), F.lit(b""))
+    tail = counts.filter((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
+    for r in tail.groupBy(bucket().alias("k")).agg(F.sum("n").alias("n")).collect():
+        shared[r["k"]] = r["n"]
+    number[WORDS:] += shared
+    return Lexicon(counts, tail, words, number, shared)
+
+
+def vocabulary(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, and the count of every token number."""
+    found = lexicon(docs)
+    return found.words, found.number
+
+
+def hot_words(tail: DataFrame, most: int) -> tuple[list, int]:
+    """(word, n) of all words of the levels that together have at most ``most`` words, and the lowest such level."""
+    sizes = {r["level"]: r["count"] for r in tail.groupBy(level().alias("level")).count().collect()}
+    total, lowest = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        lowest = k
+    return tail.filter(level() >= lowest).collect(), lowest
+
+
+def coded(docs: DataFrame, found: Lexicon, most: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Written (row, doc_id, body, known, rare), and (word, part) of the rare words.
+
+    ``body`` has the token numbers of a text, ``known`` the sum of log P(word | bucket) of its hot words, and
+    ``rare`` its other words of buckets; ``part`` is log P(word | bucket), in parts of ``UNIT``.
+    """
+    hot, lowest = hot_words(found.tail, most)
+    names = [bytes(r["word"]) for r in hot]
+    at = np.array([zlib.crc32(w) % BUCKETS for w in names], np.int64)
+    own = np.zeros(len(found.words))
+    logs = np.concatenate([own, np.log([r["n"] for r in hot]) - np.log(found.shared[at])])
+    numbers = np.concatenate([np.arange(len(own)), WORDS + at, [PAD]]).astype(np.int16)
+    logs = np.append(np.rint(logs * UNIT), 0).astype(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((found.words + names, numbers, logs))
+
+    def run(batches):
+        import pyarrow as pa
+
+        known_words, numbers, logs = sent.value
+        place = {w: i for i, w in enumerate(known_words)}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                bodies, known, rare = [], [], []
+                for text in part.column(2).to_pylist():
+                    words = common.space_words(text)
+                    places = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                    body = numbers[places]
+                    missing = np.flatnonzero(places < 0).tolist()
+                    rare.append([words[i] for i in missing])
+                    body[missing] = [WORDS + zlib.crc32(w) % BUCKETS for w in rare[-1]]
+                    bodies.append(body.tobytes())
+                    known.append(int(logs[places].sum()))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.array(bodies, pa.binary()), pa.array(known, pa.int64()),
+                    pa.array(rare, pa.list_(pa.binary())),
+                ], ["row", "doc_id", "body", "known", "rare"])
+
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType),
+        T.StructField("body", T.BinaryType()), T.StructField("known", T.LongType()),
+        T.StructField("rare", T.ArrayType(T.BinaryType())),
+    ])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    whole = F.element_at(F.array(*[F.lit(float(x)) for x in found.shared]), (bucket() + 1).cast("int"))
+    parts = found.tail.filter(level() < lowest).select(
+        "word", F.round((F.log("n") - F.log(whole)) * UNIT).cast("long").alias("part")
+    )
+    return written(rows.mapInArrow(run, schema), "token-numbers"), parts
 
 
 def start_weights(number: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -177,22 +274,37 @@ def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> dict[str, np.
     }
 
 
-def padded(texts, number: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token numbers of many texts in one row with padding around each; their places; the text of each place."""
-    rows, at, lengths = [np.full(REACH, PAD)], [], []
-    begin = REACH
-    for text in texts:
-        words = common.space_words(text)
-        rows += [np.fromiter(map(number.__getitem__, words), np.int64, len(words)), np.full(REACH, PAD)]
-        at.append(np.arange(begin, begin + len(words)))
-        lengths.append(len(words))
-        begin += len(words) + REACH
-    places = np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)
-    return np.concatenate(rows).astype(np.int64), places, np.repeat(np.arange(len(lengths)), lengths)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    pad = np.full(REACH, PAD)
+    tokens = np.concatenate([pad, *(x for r in rows for x in (r, pad))]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    return tokens, np.arange(len(owner)) + REACH * (owner + 1), owner
+
+
+def padded(texts, number: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``laid_out`` of texts."""
+    words = map(common.space_words, texts)
+    return laid_out([np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words])
+
+
+def decoded(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``laid_out`` of the bodies of a coded table."""
+    return laid_out([np.frombuffer(b, np.int16) for b in bodies])
+
+
+def totals(w: dict, tokens: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of tokens and summed log-probabilities of ``n`` texts."""
+    total = np.zeros(n)
+    for k in range(0, len(places), BLOCK):
+        at = places[k : k + BLOCK]
+        total += np.bincount(owner[k : k + BLOCK], log_probs(w, windows(tokens, at), tokens[at]), n)
+    return np.bincount(owner, minlength=n), total
 
 
 def slices(batches) -> Iterator[list]:
-    """The texts of Arrow batches, a few at a time."""
+    """The first column of Arrow batches, a few rows at a time."""
     for batch in batches:
         for begin in range(0, batch.num_rows, TEXTS):
             yield batch.column(0).slice(begin, TEXTS).to_pylist()
@@ -204,18 +316,18 @@ def targets(places: np.ndarray, owner: np.ndarray, turn: int, rounds: int) -> np
     return places[inside % rounds == turn]
 
 
-def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """One round of local descent on all documents and the average of the tasks' weights."""
+def train_round(rows: DataFrame, line: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """One round of local descent on all rows of a coded table and the average of the tasks' weights."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        w, number = from_line(line.copy()), Numbers({x: i for i, x in enumerate(words)})
+        w = from_line(line.copy())
         squares = {n: np.full(s, 1e-4, np.float32) for n, s in SHAPES.items()}
         seen = 0
         for part in slices(batches):
-            tokens, places, owner = padded(part, number)
+            tokens, places, owner = decoded(part)
             chosen = targets(places, owner, turn, rounds)
             for k in range(0, len(chosen), BATCH):
                 at = chosen[k : k + BATCH]
@@ -241,47 +353,69 @@ def train_round(docs: DataFrame, words: list[bytes], line: np.ndarray, turn: int
                             columns=["slot", "task", "weight", "body"])
 
     schema = "slot int, task int, weight double, body binary"
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    sent = rows.select("body").mapInArrow(run, schema)
     part = sent.groupBy("slot", F.floor(F.col("task") / FAN_IN).alias("team")).applyInPandas(average, schema)
-    rows = part.groupBy("slot").applyInPandas(average, schema).collect()
-    if not rows:
+    slots = part.groupBy("slot").applyInPandas(average, schema).collect()
+    if not slots:
         return line
-    return np.concatenate([np.frombuffer(r["body"], np.float32) for r in sorted(rows, key=lambda r: r["slot"])])
+    return np.concatenate([np.frombuffer(r["body"], np.float32) for r in sorted(slots, key=lambda r: r["slot"])])
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """Vocabulary and weights of a network trained on ``docs``."""
-    words, number = vocabulary(docs)
+def train(rows: DataFrame, number: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of a network trained on a coded table."""
     line = to_line(start_weights(number))
     for turn in range(rounds):
-        line = train_round(docs, words, line, turn, rounds)
-    return words, line
+        line = train_round(rows, line, turn, rounds)
+    return line
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
+    """Vocabulary and weights of a network trained on ``docs``."""
+    found = lexicon(docs)
+    return found.words, train(coded(docs, found)[0], found.number, rounds)
 
 
 def scores(text: Column, words: list[bytes], line: np.ndarray) -> Column:
-    """Struct of n_tokens and log_prob of a text column."""
+    """Struct of n_tokens and log_prob of a text column, where words of a bucket score as their bucket."""
 
     @F.pandas_udf("n_tokens long, log_prob double")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w, number = from_line(line), Numbers({x: i for i, x in enumerate(words)})
         for batch in series:
-            total, count = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for begin in range(0, len(batch), TEXTS):
-                part = batch.iloc[begin : begin + TEXTS]
-                tokens, places, owner = padded(part, number)
-                for k in range(0, len(places), BLOCK):
-                    at = places[k : k + BLOCK]
-                    values = log_probs(w, windows(tokens, at), tokens[at])
-                    total[begin : begin + len(part)] += np.bincount(owner[k : k + BLOCK], values, len(part))
-                count[begin : begin + len(part)] = np.bincount(owner, minlength=len(part))
+            parts = [batch.iloc[k : k + TEXTS] for k in range(0, len(batch), TEXTS)]
+            done = [totals(w, *padded(part, number), len(part)) for part in parts]
+            count, total = (np.concatenate(x) for x in zip(*done, strict=True)) if done else ([], [])
             yield pd.DataFrame({"n_tokens": count, "log_prob": total})
 
     return run(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def body_scores(body: Column, line: np.ndarray) -> Column:
+    """``scores`` of the bodies of a coded table."""
+
+    @F.pandas_udf("n_tokens long, log_prob double")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        w = from_line(line)
+        for batch in series:
+            parts = [batch.iloc[k : k + TEXTS] for k in range(0, len(batch), TEXTS)]
+            done = [totals(w, *decoded(list(part)), len(part)) for part in parts]
+            count, total = (np.concatenate(x) for x in zip(*done, strict=True)) if done else ([], [])
+            yield pd.DataFrame({"n_tokens": count, "log_prob": total})
+
+    return run(body)
+
+
+def score_documents(docs: DataFrame, most: int = HOT) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of every document under a network trained on all."""
-    scored = docs.select("doc_id", scores(F.col("text"), *fit(docs)).alias("scored_")).select("doc_id", "scored_.*")
+    found = lexicon(docs)
+    rows, parts = coded(docs, found, most)
+    line = train(rows, found.number)
+    rare = rows.select("row", F.explode("rare").alias("word")).join(parts, "word")
+    rare = rare.groupBy("row").agg(F.sum("part").alias("part"))
+    scored = rows.select("row", "doc_id", "known", body_scores(F.col("body"), line).alias("scored_"))
+    scored = scored.select("row", "doc_id", "known", "scored_.*").join(rare, "row", "left")
+    inside = (F.col("known") + F.coalesce("part", F.lit(0))) / UNIT
+    scored = scored.select("doc_id", "n_tokens", (F.col("log_prob") + inside).alias("log_prob"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.withColumn("mean_log_prob", mean)
 

@@ -162,6 +162,28 @@ def test_lm_training_reaches_every_position(spark):
     assert (after > before + 1).all()
 
 
+@pytest.mark.parametrize("most", [0, 40, lm_scoring.HOT])
+def test_lm_words_of_a_bucket_score_by_their_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(lm_scoring.train, "__defaults__", (0,))  # start weights: the context says nothing
+    own = " ".join(f"common{i}" for i in range(lm_scoring.WORDS))
+    tail = [(f"tail{i}", 1 + i % 7) for i in range(300)]
+    texts = [own] * 9 + [w for w, n in tail for _ in range(n)] + ["common1 tail3 tail6 tail3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    count = dict(tail) | {"tail3": 1 + 3 + 2, "tail6": 7 + 1}
+    of, buckets = lambda w: lm_scoring.zlib.crc32(w.encode()) % lm_scoring.BUCKETS, np.zeros(lm_scoring.BUCKETS)
+    for w, n in count.items():
+        buckets[of(w)] += n
+    words, number = lm_scoring.vocabulary(df)
+    assert len(words) == lm_scoring.WORDS and (number[lm_scoring.WORDS :] == 1 + buckets).all()
+    line = lm_scoring.to_line(lm_scoring.start_weights(number))
+    plain = {r.doc_id: r.s.log_prob for r in df.select("doc_id", lm_scoring.scores(df.text, words, line).alias("s")).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, most).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        inside = sum(np.log(count[w] / buckets[of(w)]) for w in text.split() if w in count)
+        assert got[i].n_tokens == len(text.split()) and abs(got[i].log_prob - plain[i] - inside) < 1e-4 * got[i].n_tokens
+
+
 def test_bpe_codec(docs):
     import tiktoken
 
