@@ -62,6 +62,24 @@ def test_quality_rules_agree_with_labels(documents, labels):
     assert sum(v.kept for q, v in own if q == 0) == 0
 
 
+def test_quality_rules_find_junk_without_symbols(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    verdict = {r.doc_id: r for r in quality_rules.judge(docs, labels).select("doc_id", "base_failed", "kept").collect()}
+    own = [(r.quality, verdict[r.doc_id]) for r in labels.collect() if not verdict[r.doc_id].base_failed]
+    bad, good = ([v.kept for q, v in own if q == quality] for quality in (0, 1))
+    assert len(bad) > 250 and not any(bad)
+    assert sum(not kept for kept in good) <= quality_rules.MAX_FALSE * len(good)
+
+
+def test_quality_rules_hold_for_rows_without_a_label(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    shown = labels.filter("doc_id % 2 = 0")
+    verdict = {r.doc_id: r for r in quality_rules.judge(docs, shown).select("doc_id", "base_failed", "kept").collect()}
+    held = [(r.quality, verdict[r.doc_id]) for r in labels.filter("doc_id % 2 = 1").collect()]
+    bad, good = ([v.kept for q, v in held if q == quality and not v.base_failed] for quality in (0, 1))
+    assert sum(bad) <= 0.02 * len(bad) and sum(not kept for kept in good) <= 0.002 * len(good)
+
+
 def test_forest_depth_and_calibration():
     x = np.concatenate([np.zeros((300, 2)), np.full((6, 2), 5.0)])
     forest = quality_rules.grow(x)
