@@ -17,20 +17,12 @@ from glosa.vocab import words as vocab
 EMOTIONS = vocab.EMOTIONS
 
 
-_SPAM_ROWS: dict[tuple, str] = {}
-
-
 def spam_rows(spark, sf):
-    """Labelled comments as (comment_id, text, label, part), split by class; one written table for an application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SPAM_ROWS:
-        c = views.comments(spark, sf).filter("spam_label IS NOT NULL")
-        label = F.when(F.col("spam_label") == "spam", 1.0).otherwise(0.0)
-        rows = c.select("comment_id", F.col(t).alias("text"), label.alias("label"))
-        path = work_dir(spark, "spam-rows")
-        sampling.stratified_split(rows, "label", "comment_id", 0.2).write.parquet(path)
-        _SPAM_ROWS[key] = path
-    return spark.read.parquet(_SPAM_ROWS[key])
+    """Labelled comments as (comment_id, text, label, part), split by class; written anew in every call."""
+    c = views.comments(spark, sf).filter("spam_label IS NOT NULL")
+    label = F.when(F.col("spam_label") == "spam", 1.0).otherwise(0.0)
+    rows = c.select("comment_id", F.col(t).alias("text"), label.alias("label"))
+    return written(sampling.stratified_split(rows, "label", "comment_id", 0.2), "spam-rows")
 
 
 def trained(spark, sf, bigrams=False):

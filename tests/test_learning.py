@@ -76,3 +76,15 @@ def test_topics_separate_two_subjects(spark):
     df = spark.createDataFrame(data, "i long, t string")
     got = topics.assign(topics.vectors(df, "t", ["the"]), 2, outlier_share=0.0).collect()
     assert len({(r.i % 2, r.topic) for r in got}) == 2
+
+
+def test_spam_rows_are_read_anew(spark, tmp_path):
+    from glosa.plans import learn_queries
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = {r.comment_id for r in learn_queries.spam_rows(spark, str(tmp_path)).collect()}
+    half = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 2 = 0")
+    half.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    after = {r.comment_id for r in learn_queries.spam_rows(spark, str(tmp_path)).collect()}
+    assert after and after < before
