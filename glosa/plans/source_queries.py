@@ -290,7 +290,7 @@ def events_stream(spark, sf, path=None, files_per_batch=1000):
 
 @query("ST02_stream_dedupe", "SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark, sf):
-    """Three folders land out of time order, one file per batch; every twentieth event lands in two of them."""
+    """Three parts land out of time order, the stream runs after each; every twentieth event lands in two of them."""
     root = work_dir(spark, "dedupe")
     events = views.table(spark, sf, "events")
     bounds = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("m")).agg(F.min("m"), F.max("m")).first()
@@ -300,9 +300,9 @@ def stream_dedupe(spark, sf):
     landed = events.withColumn("_part", F.explode(both))
     for part in range(3):
         rows = landed.filter(F.col("_part") == part).drop("_part")
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/landing")
-    stream = events_stream(spark, sf, f"{root}/landing", files_per_batch=1)
-    ingest.append_new(stream, "event_id", "ts", f"{root}/sink", f"{root}/checkpoint")
+        rows.write.mode("append").parquet(f"{root}/landing")
+        stream = events_stream(spark, sf, f"{root}/landing")
+        ingest.append_new(stream, "event_id", "ts", f"{root}/sink", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/sink").select("event_id", "user_id", "event_type")
 
 

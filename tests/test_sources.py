@@ -118,3 +118,16 @@ def test_types_are_compared(spark):
 
 def test_work_dir_reads_the_cluster_setting(spark):
     assert spark.conf.get("spark.master", None) == spark.sparkContext.master  # core settings are visible here
+
+
+def test_landing_keeps_its_tasks(spark, tmp_path, monkeypatch):
+    from glosa.plans import source_queries
+
+    sf = "/root/testdata/sf0.001"
+    table = source_queries.views.table
+    monkeypatch.setattr(source_queries.views, "table", lambda *args: table(*args).repartition(4))
+    monkeypatch.setattr(source_queries, "work_dir", lambda *_: str(tmp_path))
+    got = [r.event_id for r in source_queries.stream_dedupe(spark, sf).collect()]
+    assert sorted(got) == sorted(r.event_id for r in table(spark, sf, "events").collect())
+    assert len(list((tmp_path / "landing").glob("*.parquet"))) > 3
+    assert len(list((tmp_path / "sink").glob("batch=*"))) == 3
