@@ -7,7 +7,9 @@ from glosa.llm import (  # noqa: F401  (importing registers)
     chat_formatting,
     common,
     decontamination,
+    filter_audit,
     lm_scoring,
+    packing,
     quality_classifier,
     quality_rules,
     secrets,
