@@ -10,6 +10,7 @@ from glosa.llm import (  # noqa: F401  (importing registers)
     filter_audit,
     lm_scoring,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     secrets,
