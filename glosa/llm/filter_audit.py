@@ -1,9 +1,10 @@
 """Filter interaction audit by incremental retraction streaming.
 
 The files of the table are a stream of available-now micro-batches.  Four of the five filters look at one text
-alone and give its mask; the fifth, an equal text under a smaller id, needs the whole table.  Its state is keyed
-by the digest of the text: the smallest id so far and the rows that hold it.  A row of a larger id is counted as
-a copy at once.  When a smaller id arrives, the rows of the former one are retracted from the counters of their
+alone and give its mask; the fifth, an equal text under a smaller id, needs the whole table.  The keyed state has
+for every text, by digest, the smallest id so far and the rows that hold it.  A key is a slice of the digests; there
+are so many keys that each has some hundred texts at every size of the table, as Python pays for each key it is
+called for.  A row of a larger id is counted as a copy at once.  When a smaller id arrives, the rows of the former one are retracted from the counters of their
 part under their old mask and added under the mask of a copy.  Each batch adds its net changes to the counters,
 (part, mask) with three numbers, in a folder named by the batch, so a repeated batch replaces what it wrote.  All
 orders of the filters follow from the counters: five filters have 32 masks.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -36,11 +38,17 @@ from glosa.session import work_dir
 #: Contract: the filters, each a bit of the mask in this order.
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-#: A micro-batch has one scan split for each core of the cluster, and this many bytes at the least.
-LEAST_BYTES = 64 << 20
+#: A micro-batch has this many scan splits for each core of the cluster, and this many bytes at the least.
+WAVES, LEAST_BYTES = 4, 64 << 20
+#: Bytes of the table for one key of the state.
+KEY_BYTES = 256 << 10
 #: Rows whose copies a task merges at once.
 MERGED_ROWS = 50_000
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state may outgrow memory.  Without the second setting an almost empty store takes megabytes of disk.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 WORD_ENDS = r"[\x20\x09-\x0D]+"
 
@@ -62,7 +70,7 @@ def masked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def judged(words: Column) -> Column:
         mask = text_mask(F.col("text_"), F.size(words), F.size(F.array_distinct(words)))
-        digest = F.unhex(F.sha2(F.encode("text_", "utf-8"), 256))
+        digest = F.sha2(F.encode("text_", "utf-8"), 256)
         return F.struct(mask.cast("int").alias("mask"), digest.alias("digest"))
 
     slim = docs.select(
@@ -78,26 +86,25 @@ GROUP = ["digest", "part", "mask", "good", "toxic"]
 
 
 def merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, row) for equal texts of a part and its labels.
+    """(key, row) for equal texts of a part and its labels.
 
-    The row is text: mask, good, toxic, smallest id (or nothing), rows that have it, rows in all, part.  The keyed
-    state converts column by column for every key, so one column is handed over instead of seven.
+    The row is text: digest, mask, good, toxic, smallest id (or nothing), rows that have it, rows in all, part.  The
+    keyed state converts column by column for every key, so one column is handed over instead of eight.
     """
     held: list[pa.RecordBatch] = []
 
     def flush() -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         held.clear()
-        by_id = table.group_by([*GROUP, "doc_id"], use_threads=False).aggregate([([], "count_all")])
-        by_id = by_id.sort_by([("doc_id", "ascending")])  # nulls last
-        out = by_id.group_by(GROUP, use_threads=False).aggregate(
+        by_id = table.group_by(["key", *GROUP, "doc_id"], use_threads=False).aggregate([([], "count_all")])
+        by_id = by_id.append_column("no_id", by_id["doc_id"].is_null()).sort_by([("doc_id", "ascending")])
+        out = by_id.group_by(["key", *GROUP, "no_id"], use_threads=False).aggregate(
             [("doc_id", "min"), ("count_all", "first"), ("count_all", "sum")]
         )
-        names = ("mask", "good", "toxic", "doc_id_min", "count_all_first", "count_all_sum", "part")
+        names = ("digest", "mask", "good", "toxic", "doc_id_min", "count_all_first", "count_all_sum", "part")
         rows = zip(*[out[c].to_pylist() for c in names], strict=True)
-        text = [f"{m},{g},{x},{'' if low is None else low},{k},{n},{part}" for m, g, x, low, k, n, part in rows]
-        digests = out["digest"].combine_chunks()
-        return pa.RecordBatch.from_arrays([digests, pa.array(text, pa.string())], names=["digest", "row"])
+        text = [f"{d},{m},{g},{x},{'' if low is None else low},{k},{n},{part}" for d, m, g, x, low, k, n, part in rows]
+        return pa.RecordBatch.from_arrays([out["key"].combine_chunks(), pa.array(text, pa.string())], names=["key", "row"])
 
     for batch in batches:
         held.append(batch)
@@ -108,38 +115,39 @@ def merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def settle(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Changes (text: mask, good, toxic, n, part) that the new rows of a text make; the state gets its smallest id.
+    """Changes (text: mask, good, toxic, n, part) that new rows make; the state gets the smallest id of every text.
 
-    The state is the id and the rows that have it: one, unless the table repeats an id.
+    The state of a text is this id and the rows that have it: one, unless the table repeats an id.
     """
-    low, held = json.loads(state.get[0]) if state.exists else (None, [])
-    holders: dict[tuple, int] = {tuple(h[:-1]): h[-1] for h in held}
-    change: dict[tuple, int] = {}
+    known: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+    change: Counter = Counter()
+    touched = False
 
-    def count(row: tuple, copy: int, n: int) -> None:
-        cell = (row[0] | copy, *row[1:])
-        change[cell] = change.get(cell, 0) + n
+    def count(mask: int, copy: int, row: list, n: int) -> None:
+        change[mask | copy, *row] += n
 
     for frame in frames:
         for text in frame["row"].tolist():
-            mask, good, toxic, first, n_first, n, part = text.split(",", 6)
-            row, n, n_first = (int(mask), good, toxic, part), int(n), int(n_first)
+            digest, mask, good, toxic, first, n_first, n, part = text.split(",", 7)
+            mask, n, n_first, row = int(mask), int(n), int(n_first), [good, toxic, part]
             if not first:  # rows without an id
-                count(row, 0, n)
+                count(mask, 0, row, n)
                 continue
-            first = int(first)
+            first, touched = int(first), True
+            low, holders = known.get(digest, (None, []))
             if low is None or first < low:
-                for other, n_other in holders.items():
-                    count(other, 0, -n_other)
-                    count(other, COPY, n_other)
-                low, holders = first, {}
+                for *other, n_other in holders:
+                    count(mask, 0, other, -n_other)
+                    count(mask, COPY, other, n_other)
+                low, holders = first, []
             if first == low:
-                holders[row] = holders.get(row, 0) + n_first
-                count(row, 0, n_first)
+                holders.append([*row, n_first])
+                known[digest] = [low, holders]
+                count(mask, 0, row, n_first)
                 n -= n_first
-            count(row, COPY, n)
-    if low is not None:
-        state.update((json.dumps([low, [[*row, n] for row, n in holders.items()]]),))
+            count(mask, COPY, row, n)
+    if touched:
+        state.update((json.dumps(known, separators=(",", ":")),))
     cells = [f"{mask},{good},{toxic},{n},{part}" for (mask, good, toxic, part), n in change.items() if n]
     if cells:
         yield pd.DataFrame({"change": cells})
@@ -159,9 +167,15 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 def batch_bytes(spark: SparkSession) -> int:
-    """Input of one micro-batch: a wave of scan splits over all cores."""
+    """Input of one micro-batch."""
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return max(LEAST_BYTES, split * spark.sparkContext.defaultParallelism)
+    return max(LEAST_BYTES, WAVES * split * spark.sparkContext.defaultParallelism)
+
+
+def keys_for(spark: SparkSession, path: str) -> int:
+    """Number of keys for the table: in proportion to its bytes, so that a key has as many texts at every size."""
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.sum("length")).first()[0]
+    return 1 + (size or 0) // KEY_BYTES
 
 
 COUNTER = "part string, mask int, n long, n_good long, n_toxic long"
@@ -173,8 +187,9 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, bytes_a_batch: i
     source = f"{path[:-1]}[{path[-1]}]"  # a pattern for this one name: a stream's plain path must be a folder
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_a_batch or batch_bytes(spark)))
     stream = stream.parquet(source)
-    rows = masked(stream, labels).select(*GROUP, "doc_id").mapInArrow(merge_copies, "digest binary, row string")
-    changes = rows.groupBy("digest").applyInPandasWithState(settle, "change string", "held string", "update", "NoTimeout")
+    key = (F.conv(F.substring("digest", 1, 15), 16, 10).cast("long") % keys_for(spark, path)).alias("key")
+    rows = masked(stream, labels).select(key, *GROUP, "doc_id").mapInArrow(merge_copies, "key long, row string")
+    changes = rows.groupBy("key").applyInPandasWithState(settle, "change string", "held string", "update", "NoTimeout")
     cells = F.split("change", ",", 5)
     numbers = [cells[k].cast("long").alias(name) for k, name in enumerate(("mask", "good", "toxic", "n"))]
     changes = changes.select(cells[4].alias("part"), *numbers)
@@ -186,7 +201,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, bytes_a_batch: i
         sums.append(F.sum(F.col("n") * F.col("toxic")).alias("n_toxic"))
         batch.groupBy("part", F.col("mask").cast("int").alias("mask")).agg(*sums).write.mode("overwrite").parquet(f"{out}/batch-{number}")
 
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKS}):
+    with settings(spark, STORE):
         query = (
             changes.writeStream.outputMode("update").foreachBatch(add).trigger(availableNow=True)
             .option("checkpointLocation", work_dir(spark, "filter-stream")).start()
