@@ -22,23 +22,29 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glosa.llm import common
+from glosa.llm.pretokens import Memo
+from glosa.llm.token_counts import byte_symbols
 from glosa.session import written
 
 #: Contract: tokens in a sequence, and the id that closes a document.
 CAPACITY, CLOSING = 2048, 0
-#: Distinct words whose ids one Python worker remembers, and words encoded in one call of the library.
-MEMO_LIMIT, CALL = 300_000, 20_000
+#: Distinct words, and distinct pieces of words, whose ids one Python worker remembers (some 250 MB when full).
+WORD_LIMIT, PIECE_LIMIT = 1_000_000, 500_000
+#: The vocabulary's pattern, and the last letter before those that normal forms or locales may change.
+PIECE, LAST_LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+", "\u024f"
 #: Rows of a task number their pieces below this; sequences of whole pieces count tasks in the bits above.
 TASK_ROWS = 1 << 33
 
@@ -48,30 +54,47 @@ class WordIds:
     """Ids of a text from the ids of its words, as little-endian unsigned 32-bit numbers.
 
     The vocabulary's rules drop white space and compose no character across it, so the ids of a text are those
-    of its words in a row.  Words that this worker has not seen are encoded by the library in one call; the
-    memo is emptied at a fixed size and only saves work.
+    of its words in a row; and merges stay inside the pieces of a word, so the library's model is asked once for
+    each piece.  Words of Latin letters, which no normal form changes, are lower-cased and cut by the vocabulary's
+    pattern here, all others by the library, and words with a special string are encoded by it whole.  Both memos
+    are emptied at a fixed size and only save work.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), CALL):
-            some = words[at : at + CALL]
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded, strict=True))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.normal, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.model = self.tokenizer.model.tokenize
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = bytes({s[0] for s in self.special})
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.cut = regex.compile(PIECE).findall
+        self.pieces, self.latin = Memo(self.piece, PIECE_LIMIT), Memo(self.latin_piece, PIECE_LIMIT)
+        self.known = Memo(self.word, WORD_LIMIT)
+
+    def piece(self, symbols: str) -> bytes:
+        """Ids of one piece, written in the symbols of its bytes."""
+        return array("I", [t.id for t in self.model(symbols)]).tobytes()
+
+    def latin_piece(self, piece: str) -> bytes:
+        if not piece.isascii() or not piece.isprintable():
+            piece = piece.encode().decode("latin-1").translate(self.symbols)
+        return self.piece(piece)
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if any(m in word for m in self.marks) and any(s in word for s in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if max(text) > LAST_LATIN:
+            return b"".join([self.pieces[p] for p, _ in self.split(self.normal(text))])
+        text = text.lower()
+        if text.isalpha():
+            return self.latin[text]
+        return b"".join(map(self.latin.__getitem__, self.cut(text)))
 
     def __call__(self, text: str | None) -> bytes:
-        words = common.space_words(text)
-        if len(self.known) > MEMO_LIMIT:
-            self.known.clear()
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
-        if missing:
-            self.learn(missing)
-        return b"".join([known[w] for w in words])
+        return b"".join(map(self.known.__getitem__, common.space_words(text)))
 
 
 @functools.lru_cache(maxsize=2)
