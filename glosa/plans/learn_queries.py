@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glosa.functions import text as T
-from glosa.operators import evaluation, joins, learning, sampling, sentiment, statistics, synthetic, topics
+from glosa.functions.patterns import WORD
+from glosa.operators import (
+    density, evaluation, joins, learning, sampling, sentiment, statistics, synthetic, topic_space, topics,
+)
 from glosa.plans import views
 from glosa.plans.registry import query, sql_array, sql_list, sql_text
 from glosa.plans.text_queries import SPACE, sql_clean, sql_r6, sub, t
@@ -172,17 +175,71 @@ def topic_names(spark, sf):
     return topics.topic_names(label_topic_words(spark, sf), TOPIC)
 
 
-def clustered(spark, sf, k=8):
-    c = views.comments(spark, sf, labelled=False).filter(F.length(t) >= 10).select("comment_id", t)
-    vectors = topics.vectors(c, t, _STOP + vocab.STOP_EN)
-    return topics.assign(vectors, k)
+_SPACE_STOP = sorted(set(_STOP) | set(vocab.STOP_EN))
+SPACE_TERMS = f"""texts AS (SELECT comment_id, emotion_label, list_filter(string_split_regex(lower({t}), '[^{WORD}]+'),
+  lambda w: length(w) >= 2 AND NOT list_contains({sql_array(_SPACE_STOP)}, w)) AS ws FROM comments WHERE length({t}) >= 10),
+raw_terms AS (SELECT comment_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM texts),
+term_counts AS MATERIALIZED (SELECT comment_id, term, count(*) AS tf FROM raw_terms GROUP BY ALL),
+sized AS (SELECT count(DISTINCT comment_id) AS n FROM term_counts),
+terms AS MATERIALIZED (SELECT term, df, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) AS idf FROM (
+  SELECT term, count(*) AS df FROM term_counts GROUP BY 1), sized WHERE df >= 2 AND df <= 0.95::DOUBLE * n)"""
+CENTRES = """weighted AS (SELECT comment_id, term, tf * idf AS w FROM term_counts JOIN terms USING (term)),
+lengths AS (SELECT comment_id, sqrt(sum(w * w)) AS len FROM weighted GROUP BY 1 HAVING len > 0),
+entries AS MATERIALIZED (SELECT comment_id, term, w / len AS x FROM weighted JOIN lengths USING (comment_id)),
+members AS (SELECT comment_id, emotion_label FROM texts WHERE emotion_label IS NOT NULL AND comment_id IN (SELECT comment_id FROM lengths)),
+sizes AS (SELECT emotion_label, count(*) AS n FROM members GROUP BY 1),
+centres AS MATERIALIZED (SELECT emotion_label, term, sum(x) / n AS c FROM entries JOIN members USING (comment_id) JOIN sizes USING (emotion_label) GROUP BY emotion_label, term, n),
+dots AS (SELECT comment_id, emotion_label, sum(x * c) AS dot FROM entries JOIN centres USING (term) GROUP BY ALL),
+squares AS (SELECT comment_id, emotion_label, round(1 + norm - 2 * coalesce(dot, 0), 9) AS d
+  FROM lengths CROSS JOIN (SELECT emotion_label, sum(c * c) AS norm FROM centres GROUP BY 1) LEFT JOIN dots USING (comment_id, emotion_label))"""
+
+
+def spaced(spark, sf):
+    """Comments of ten characters or more with their dictionary and entries."""
+    c = views.comments(spark, sf, labelled=False).filter(F.length(t) >= 10)
+    return c, *topic_space.term_space(c.select("comment_id", t), "comment_id", t, _SPACE_STOP)
+
+
+@query(
+    "M09_term_dictionary",
+    with_(COMMENTS, SPACE_TERMS)
+    + f"SELECT term, row_number() OVER (ORDER BY term) - 1 AS number, df, {sql_r6('idf')} AS idf FROM terms",
+)
+def term_dictionary(spark, sf):
+    _, terms, _ = spaced(spark, sf)
+    return terms.select("term", "number", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    "M09_nearest_centre",
+    with_(COMMENTS, SPACE_TERMS, CENTRES)
+    + f"""SELECT comment_id, min_by(emotion_label, (d, emotion_label)) AS emotion_label, {sql_r6('sqrt(greatest(min(d), 0))')} AS distance
+FROM squares GROUP BY 1""",
+)
+def nearest_centre(spark, sf):
+    """The label whose comments have the nearest mean: one step of sparse k-means from given members."""
+    c, _, entries = spaced(spark, sf)
+    members = c.filter("emotion_label IS NOT NULL").select("comment_id", "emotion_label")
+    centre = written(topic_space.centres(entries, members, "comment_id", "emotion_label"), "label-centres")
+    found = topic_space.nearest(entries, centre, "comment_id", "emotion_label")
+    return found.select("comment_id", "emotion_label", F.round("distance", 6).alias("distance"))
+
+
+def clustered(spark, sf):
+    """comment_id, text, topic, topic_probability: density clusters in five dimensions; -1 is noise."""
+    c, _, entries = spaced(spark, sf)
+    reduced = topic_space.reduce(entries, "comment_id")
+    names = [x for x in reduced.columns if x != "comment_id"]
+    found = written(density.clusters(reduced, "comment_id", names), "topics")
+    joined = c.select("comment_id", t).join(found, "comment_id", "left")
+    return joined.fillna({"topic": -1, "topic_probability": 0.0})
 
 
 @query("M09_topic_assignment")
 def topic_assignment(spark, sf):
-    assigned = written(clustered(spark, sf), "topics")
+    assigned = written(clustered(spark, sf), "topic-texts")
     words = topics.topic_words(topics.class_tfidf(assigned, "topic", T.clean(F.col(t), " "), _STOP), "topic")
-    named = assigned.join(F.broadcast(topics.topic_names(words, "topic")), "topic", "left")  # one row per topic
+    named = assigned.join(topics.topic_names(words, "topic"), "topic", "left")
     return named.select("comment_id", "topic", "topic_probability", "topic_name")
 
 

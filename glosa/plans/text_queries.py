@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glosa.functions import culture, emoji, geo, language, spam
 from glosa.functions import text as T
 from glosa.functions.patterns import SPACE, WORD, contains_any, contains_word, escape
-from glosa.operators import filters, linguistics
+from glosa.operators import filters, languages, linguistics
 from glosa.plans import views
 from glosa.plans.registry import query, sql_array, sql_list, sql_rows, sql_text
 from glosa.plans.views import COMMENTS, RAW, with_
@@ -245,16 +245,43 @@ lang AS (SELECT *, CASE WHEN {known} THEN CASE {pick} END ELSE 'und' END AS lang
 
 LANGUAGE = sql_language(t)
 
+#: The trigram model learns from four fifths of the comments; the others show how well it does.
+HELD_OUT = "comment_id % 5 = 0"
+TRIGRAMS = f"""bare AS (SELECT comment_id, detected_language, {sub(t, T.URL)} AS b FROM comments),
+plain AS MATERIALIZED (SELECT comment_id, detected_language, length({sql_spaces('b')}) AS n_chars,
+  trim(regexp_replace(lower(b), '[^\\p{{L}}]+', ' ', 'g')) AS n FROM bare),
+doc_words AS MATERIALIZED (SELECT comment_id, detected_language, w, count(*) AS c FROM (
+  SELECT comment_id, detected_language, unnest(string_split(n, ' ')) AS w FROM plain) WHERE w <> '' GROUP BY ALL),
+grams AS MATERIALIZED (SELECT w, unnest(list_transform(range(1, length(w) + 1),
+  lambda i: (unicode(p[i]) * {languages.FACTORS[0]} + unicode(p[i + 1]) * {languages.FACTORS[1]} + unicode(p[i + 2])) % {languages.BUCKETS})) AS g
+  FROM (SELECT w, string_split(' ' || w || ' ', '') AS p FROM (SELECT DISTINCT w FROM doc_words))),
+fitted AS (SELECT detected_language AS l, g, sum(c) AS n FROM (
+  SELECT detected_language, w, sum(c) AS c FROM doc_words WHERE NOT {HELD_OUT} AND detected_language IS NOT NULL GROUP BY ALL) JOIN grams USING (w) GROUP BY ALL),
+weights AS MATERIALIZED (SELECT a.l, b.g, ln((coalesce(n, 0) + 1) * 1.0::DOUBLE / (a.total + {languages.BUCKETS})) AS x
+  FROM (SELECT l, sum(n) AS total FROM fitted GROUP BY l) a CROSS JOIN (SELECT unnest(range(0, {languages.BUCKETS})) AS g) b
+  LEFT JOIN fitted f ON f.l = a.l AND f.g = b.g),
+word_scores AS MATERIALIZED (SELECT w, l, sum(x) AS x FROM grams JOIN weights USING (g) GROUP BY ALL),
+doc_scores AS (SELECT comment_id, l, sum(c * x) AS x FROM doc_words JOIN word_scores USING (w) GROUP BY ALL),
+best AS (SELECT comment_id, min_by(l, (-x, l)) AS l, max(x) AS top FROM doc_scores GROUP BY 1),
+shares AS (SELECT comment_id, 1 / sum(exp(x - top)) AS share FROM doc_scores JOIN best USING (comment_id) GROUP BY 1),
+lang AS (SELECT p.comment_id, p.detected_language, CASE WHEN n_chars >= 10 AND n <> '' THEN l ELSE 'und' END AS language,
+  CASE WHEN n_chars >= 10 AND n <> '' THEN share ELSE 0.0 END AS language_score
+  FROM plain p LEFT JOIN best USING (comment_id) LEFT JOIN shares USING (comment_id))"""
+
+
+def identified(spark, sf):
+    c = views.comments(spark, sf, labelled=False)
+    return languages.identify(c, languages.fit(c.filter(f"NOT {HELD_OUT}"), t, "detected_language"))
+
 
 @query(
     "P11_language_filter",
-    with_(COMMENTS, LANGUAGE)
+    with_(COMMENTS, TRIGRAMS)
     + """SELECT comment_id, CAST(round(language_score, 6) AS DOUBLE) AS language_score
 FROM lang WHERE language = 'en' AND language_score >= 0.8""",
 )
 def language_filter(spark, sf):
-    found = language.detect(views.comments(spark, sf, labelled=False))
-    return language.speaks(found).select("comment_id", F.round("language_score", 6).alias("language_score"))
+    return language.speaks(identified(spark, sf)).select("comment_id", F.round("language_score", 6).alias("language_score"))
 
 
 @query(
@@ -665,19 +692,29 @@ function(
 
 @query(
     "M11_language_identification",
-    with_(COMMENTS, LANGUAGE)
+    with_(COMMENTS, TRIGRAMS)
     + "SELECT comment_id, language, CAST(round(language_score, 6) AS DOUBLE) AS language_score FROM lang",
 )
 def language_identification(spark, sf):
-    found = language.detect(views.comments(spark, sf, labelled=False))
-    return found.select("comment_id", "language", F.round("language_score", 6).alias("language_score"))
+    return identified(spark, sf).select("comment_id", "language", F.round("language_score", 6).alias("language_score"))
 
 
 @query(
     "M11_language_accuracy",
-    with_(COMMENTS, LANGUAGE)
-    + """SELECT detected_language, language, count(*) AS n FROM lang GROUP BY 1, 2""",
+    with_(COMMENTS, TRIGRAMS)
+    + f"""SELECT {HELD_OUT} AS held_out, detected_language, language, count(*) AS n FROM lang GROUP BY 1, 2, 3""",
 )
 def language_accuracy(spark, sf):
+    """Known against found languages, for comments that the model has learnt from and for those held out."""
+    held = F.expr(HELD_OUT).alias("held_out")
+    return identified(spark, sf).groupBy(held, "detected_language", "language").agg(F.count("*").alias("n"))
+
+
+@query(
+    "M11_language_by_common_words",
+    with_(COMMENTS, LANGUAGE)
+    + "SELECT comment_id, language, CAST(round(language_score, 6) AS DOUBLE) AS language_score FROM lang",
+)
+def language_by_common_words(spark, sf):
     found = language.detect(views.comments(spark, sf, labelled=False))
-    return found.groupBy("detected_language", "language").agg(F.count("*").alias("n"))
+    return found.select("comment_id", "language", F.round("language_score", 6).alias("language_score"))

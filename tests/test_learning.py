@@ -71,13 +71,6 @@ def test_similarity_has_every_ordered_pair(spark):
     assert len(pairs) == 6 and pairs["a", "b"] == 0.5 and pairs["a", "c"] == 0.0
 
 
-def test_topics_separate_two_subjects(spark):
-    data = [(i, f"goal match team player ball {i % 3}" if i % 2 else f"soup salt oven butter sugar {i % 3}") for i in range(40)]
-    df = spark.createDataFrame(data, "i long, t string")
-    got = topics.assign(topics.vectors(df, "t", ["the"]), 2, outlier_share=0.0).collect()
-    assert len({(r.i % 2, r.topic) for r in got}) == 2
-
-
 def test_spam_rows_are_read_anew(spark, tmp_path):
     from glosa.plans import learn_queries
 
