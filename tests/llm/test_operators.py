@@ -81,25 +81,73 @@ def test_quality_rules_hold_for_rows_without_a_label(spark):
 
 
 def test_forest_depth_and_calibration():
-    x = np.concatenate([np.zeros((300, 2)), np.full((6, 2), 5.0)])
-    forest = quality_rules.grow(x)
+    x = np.concatenate([np.random.default_rng(1).uniform(size=(300, 2)), np.full((6, 2), 5.0)])
+    forest = quality_rules.grow(x[:300])
     score = forest.score(x)
     assert score[300:].min() > score[:300].max()
     limit = quality_rules.calibrate(score[:300], score[300:])
     assert score[:300].max() < limit < score[300:].min()
     assert quality_rules.calibrate(np.ones(3), np.array([])) == np.inf
-    walk = [slow_score(forest, row) for row in x[[0, 303]]]
-    assert np.allclose(walk, score[[0, 303]])
+    walk = [slow_score(forest, row) for row in x[[0, 1, 2, 303]]]
+    assert np.allclose(walk, score[[0, 1, 2, 303]])
 
 
 def slow_score(forest, row):
-    total = 0.0
-    for t in range(len(forest.feature)):
-        node = 0
-        while forest.feature[t, node] >= 0:
-            node = forest.left[t, node] + (row[forest.feature[t, node]] >= forest.split[t, node])
-        total += forest.length[t, node]
-    return 2 ** (-total / len(forest.feature) / forest.norm)
+    """One row through all trees: at each node it is isolated with a probability, or goes on to a child."""
+
+    def length(t, node, depth):
+        outside = sum(max(a - v, 0) + max(v - b, 0) for v, a, b in zip(row, forest.low[t, node], forest.high[t, node]))
+        extent = sum(forest.high[t, node] - forest.low[t, node])
+        cut_off = outside / (outside + extent) if outside else 0.0
+        f = forest.feature[t, node]
+        if f < 0:
+            below = forest.length[t, node]
+        else:
+            below = length(t, forest.left[t, node] + (row[f] >= forest.split[t, node]), depth + 1)
+        return cut_off * depth + (1 - cut_off) * below
+
+    trees = len(forest.feature)
+    return 2 ** (-sum(length(t, 0, 0) for t in range(trees)) / trees / forest.norm)
+
+
+def test_path_length_is_the_mean_over_random_cuts():
+    """The expectation of one node: cuts of the box with the row, drawn at random, isolate it first as often."""
+    rng = np.random.default_rng(5)
+    x, row = rng.uniform(size=(40, 2)), np.array([1.7, 0.5])
+    forest = quality_rules.grow(x, trees=1, rows=40)
+    low, high = np.minimum(x.min(axis=0), row), np.maximum(x.max(axis=0), row)
+    extent = high - low
+    hits = 0
+    for _ in range(4000):
+        f = rng.choice(2, p=extent / extent.sum())
+        cut = rng.uniform(low[f], high[f])
+        hits += bool((x[:, f] < cut).all() and row[f] >= cut) or bool((x[:, f] >= cut).all() and row[f] < cut)
+    outside = np.maximum(row - forest.high[0, 0], 0).sum() + np.maximum(forest.low[0, 0] - row, 0).sum()
+    share = outside / (outside + (forest.high[0, 0] - forest.low[0, 0]).sum())
+    assert abs(hits / 4000 - share) < 0.03
+
+
+def test_kept_follows_a_plain_forest(documents, labels):
+    """Verdicts of the query, row by row, from the statistics, the ranks and a walk through the trees."""
+    forest = quality_rules.fit(documents, labels)
+    verdict = {r.doc_id: r for r in quality_rules.judge(documents, labels).collect()}
+    for doc_id, text in pairs(documents):
+        features = np.array([text_stats.measure(text)[1]], np.float32)
+        row = quality_rules.rule_statistics(features)[0]
+        own = []
+        for value, column in zip(row, forest.known.T.tolist()):
+            below, upto = sum(c < value for c in column), sum(c <= value for c in column)
+            beyond = min(value - column[0], 0) + max(value - column[-1], 0)
+            own.append((below + upto) / (2 * len(column)) + beyond / max(column[-1] - column[0], 0.02))
+        score = slow_score(forest, own)
+        assert abs(score - verdict[doc_id].anomaly) < 1e-9
+        assert verdict[doc_id].kept == (not verdict[doc_id].base_failed and score <= forest.threshold)
+
+
+def test_scores_vary_inside_the_range_of_good_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    kept = quality_rules.judge(docs, labels).filter("kept").select("anomaly").collect()
+    assert len({round(r.anomaly, 9) for r in kept}) > 0.5 * len(kept)
 
 
 def test_rules_without_labels(edge, labels):
