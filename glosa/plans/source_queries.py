@@ -208,6 +208,50 @@ def conversion_cells(spark, sf):
     return conversion.compare_tables(*converted_pair(spark, sf), "comment_id")
 
 
+@query(
+    "S11_types",
+    """SELECT * FROM (
+SELECT 'doc_id' AS "column", 'bigint' AS left_type, 'bigint' AS right_type, true AS equal, count(doc_id) AS filled FROM documents
+UNION ALL SELECT 'text', 'string', NULL, false, count(text) FROM documents
+UNION ALL SELECT 'lang', 'string', 'string', true, count(lang) FROM documents
+UNION ALL SELECT 'source', 'string', NULL, false, count(source) FROM documents
+UNION ALL SELECT 'n_chars', 'bigint', 'string', false, count(n_chars) FROM documents
+UNION ALL SELECT 'digest', NULL, 'string', false, NULL FROM (SELECT 1))""",
+)
+def column_types(spark, sf):
+    """Types of documents against those of a conversion of them, with the filled cells of the source's columns."""
+    docs = views.table(spark, sf, "documents")
+    path = work_dir(spark, "typed")
+    docs.select("doc_id", "lang", F.col("n_chars").cast("string").alias("n_chars"), F.md5("text").alias("digest")).write.parquet(path)
+    types = conversion.compare_types(docs, spark.read.parquet(path))
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in docs.columns]))
+    filled = docs.agg(*[F.count(c).alias(c) for c in docs.columns]).select(cells)  # a row per column
+    return types.join(filled, "column", "left")
+
+
+@query(
+    "S11_tree_status",
+    with_(COMMENTS, RAW)
+    + """SELECT CASE WHEN like_count < 30 THEN 'low' WHEN like_count < 60 THEN 'deep' ELSE 'late' END AS folder,
+  CASE WHEN like_count < 60 THEN 'ok' ELSE 'missing' END AS status, count(*) AS source_rows,
+  CASE WHEN max(like_count) < 60 THEN count(*) END AS converted_rows FROM raw GROUP BY 1, 2""",
+)
+def tree_status(spark, sf):
+    """Two folders of CSV files are converted, a third lands afterwards: status of all files, summed by folder."""
+    root = work_dir(spark, "status")
+    raw = views.raw_comments(spark, sf, labelled=False)
+    likes = F.col("like_count")
+    writers.write_csv(raw.filter(likes < 30), f"{root}/in/low")
+    writers.write_csv(raw.filter((likes >= 30) & (likes < 60)), f"{root}/in/deep/down")
+    conversion.convert_tree(spark, f"{root}/in", f"{root}/out")
+    writers.write_csv(raw.filter(likes >= 60), f"{root}/in/late")
+    status = conversion.tree_status(spark, f"{root}/in", f"{root}/out").filter("source_rows > 0")
+    folder = F.split_part("file", F.lit("/"), F.lit(1)).alias("folder")
+    return status.groupBy(folder, "status").agg(
+        F.sum("source_rows").alias("source_rows"), F.sum("converted_rows").alias("converted_rows")
+    )
+
+
 @query(
     "S11_conversion_status",
     with_(COMMENTS, _CONVERTED)
