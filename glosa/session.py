@@ -35,12 +35,16 @@ def build_session(
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for files that several tasks must see.
+    """A fresh folder for files that several tasks must see, under ``spark.checkpoint.dir``.
 
-    It lies under ``spark.checkpoint.dir``; where that is unset, under the warehouse,
-    the other folder that driver and executors share.
+    Where that is unset, a local session uses its warehouse; a cluster has no folder that is known to be shared, so
+    the job is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.conf.get("spark.master").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -131,3 +131,17 @@ def test_landing_keeps_its_tasks(spark, tmp_path, monkeypatch):
     assert sorted(got) == sorted(r.event_id for r in table(spark, sf, "events").collect())
     assert len(list((tmp_path / "landing").glob("*.parquet"))) > 3
     assert len(list((tmp_path / "sink").glob("batch=*"))) == 3
+
+
+@pytest.mark.parametrize("master, shared, root", [
+    ("local[4]", None, "/house/"), ("yarn", "hdfs://x/work/", "hdfs://x/work/"), ("spark://h:7077", None, None),
+    ("local-cluster[2,1,1024]", None, None),
+])
+def test_work_folder_is_shared(master, shared, root):
+    own = {"spark.master": master, "spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": "/house"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: own.get(key) or default))
+    if root:
+        assert work_dir(session, "x").startswith(f"{root}x-")
+    else:
+        with pytest.raises(RuntimeError):
+            work_dir(session, "x")
