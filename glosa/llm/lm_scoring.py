@@ -217,26 +217,40 @@ def windows(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([tokens[at + k] for k in around], axis=1)
 
 
-def log_softmax_at(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+#: Outputs below this in size need no shift before their exponentials, which stay inside single precision.
+SMALL_OUTPUT = 80.0
+
+
+def small_outputs(w: dict) -> bool:
+    """Whether no input can bring an output near the limits of single precision; hidden values lie in -1 to 1."""
+    one = np.abs(w["first"]).sum(axis=0).max() + np.abs(w["first_bias"]).max()
+    two = np.abs(w["second"]).sum(axis=0).max() + np.abs(w["second_bias"]).max()
+    return bool(max(one, two) < SMALL_OUTPUT)
+
+
+def log_softmax_at(x: np.ndarray, row: np.ndarray, small: bool = False) -> np.ndarray:
     """Of one row in each column; in place."""
-    x -= x.max(axis=0)
+    if not small:
+        x -= x.max(axis=0)
     chosen = x[row, np.arange(x.shape[1])]
     return chosen - np.log(np.exp(x, out=x).sum(axis=0))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
+def softmax(x: np.ndarray, small: bool = False) -> np.ndarray:
     """Of each column; in place."""
-    x -= x.max(axis=0)
+    if not small:
+        x -= x.max(axis=0)
     np.exp(x, out=x)
     x /= x.sum(axis=0)
     return x
 
 
-def summed(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows that share a number ``at``, for the numbers below ``n``."""
-    width = rows.shape[1]
-    places = (at[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(places, rows.ravel(), n * width).reshape(n, width).astype(rows.dtype)
+def by_number(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers, an order that brings equal ones together, and where each begins in it."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    ordered = at[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[begins], order, begins
 
 
 def forward(w: dict, context: np.ndarray, target: np.ndarray):
@@ -252,28 +266,39 @@ def forward(w: dict, context: np.ndarray, target: np.ndarray):
 
 def log_probs(w: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     _, _, one, two = forward(w, context, target)
-    return log_softmax_at(one, target // SIDE) + log_softmax_at(two, target % SIDE)
+    small = small_outputs(w)
+    return log_softmax_at(one, target // SIDE, small) + log_softmax_at(two, target % SIDE, small)
 
 
-def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log-probability."""
+def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> dict[str, tuple]:
+    """Of the mean negative log-probability: (rows of the weight that it is not zero for, its values there)."""
     x, h, one, two = forward(w, context, target)
-    n, columns = len(target), np.arange(len(target))
-    d_one, d_two = softmax(one), softmax(two)
+    n, columns, small = len(target), np.arange(len(target)), small_outputs(w)
+    d_one, d_two = softmax(one, small), softmax(two, small)
     d_one[target // SIDE, columns] -= 1
     d_two[target % SIDE, columns] -= 1
     d_one /= n
     d_two /= n
     d_h = (w["first"] @ d_one + w["second"] @ d_two) * (1 - h * h)
-    own_class = np.zeros((n, SIDE), d_two.dtype)
-    own_class[columns, target // SIDE] = 1
-    embed = summed((d_h.T @ w["mix"].T).reshape(-1, WIDTH), context.ravel(), PAD + 1)
+    every = slice(None)
+    tokens, order, begins = by_number(context.ravel())
+    d_x = (d_h.T @ w["mix"].T).reshape(-1, WIDTH)
+    classes, class_order, class_begins = by_number(target // SIDE)
+    d_class = np.add.reduceat(d_two.take(class_order, axis=1), class_begins, axis=1)
     return {
-        "embed": embed, "mix": x.T @ d_h.T, "mix_bias": d_h.sum(axis=1), "first": h @ d_one.T,
-        "first_bias": d_one.sum(axis=1), "second": h @ d_two.T, "second_bias": own_class.T @ d_two.T,
+        "embed": (tokens, np.add.reduceat(d_x.take(order, axis=0), begins, axis=0)), "mix": (every, x.T @ d_h.T),
+        "mix_bias": (every, d_h.sum(axis=1)), "first": (every, h @ d_one.T), "first_bias": (every, d_one.sum(axis=1)),
+        "second": (every, h @ d_two.T), "second_bias": (classes, d_class.T),
     }
 
 
+def descend(w: dict, squares: dict, context: np.ndarray, target: np.ndarray) -> None:
+    """One step; rows without a gradient stay as they are."""
+    for name, (rows, g) in gradients(w, context, target).items():
+        squares[name][rows] += g * g
+        w[name][rows] -= RATE * g / np.sqrt(squares[name][rows])
+
+
 def laid_out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token numbers of many texts in one row with padding around each; their places; the text of each place."""
     lengths = np.array([len(r) for r in rows], np.int64)
@@ -331,9 +356,7 @@ def train_round(rows: DataFrame, line: np.ndarray, turn: int, rounds: int) -> np
             chosen = targets(places, owner, turn, rounds)
             for k in range(0, len(chosen), BATCH):
                 at = chosen[k : k + BATCH]
-                for name, g in gradients(w, windows(tokens, at), tokens[at]).items():
-                    squares[name] += g * g
-                    w[name] -= RATE * g / np.sqrt(squares[name])
+                descend(w, squares, windows(tokens, at), tokens[at])
                 seen += len(at)
         if seen:
             out = to_line(w)

@@ -1,9 +1,11 @@
 """Every operator against a plain version, on given documents and on awkward rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glosa.llm import (
     bpe_codec, chat_formatting, common, decontamination, lm_scoring, quality_classifier, quality_rules, secrets, simhash,
@@ -186,7 +188,9 @@ def test_lm_gradients():
     w["first"] += rng.normal(0, 0.3, w["first"].shape)
     w["second"] += rng.normal(0, 0.3, w["second"].shape)
     context, target = rng.integers(0, 4096, (8, 4)), rng.integers(0, 4096, 8)
-    grads = lm_scoring.gradients(w, context, target)
+    grads = {n: np.zeros(v.shape) for n, v in w.items()}
+    for name, (rows, g) in lm_scoring.gradients(w, context, target).items():
+        grads[name][rows] += g
     spots = {"embed": (context[0, 0], 1), "mix": (3, 2), "first": (1, 5), "second_bias": (target[0] // 64, 3)}
     for name, spot in spots.items():
         losses = []
@@ -197,6 +201,67 @@ def test_lm_gradients():
         assert abs((losses[0] - losses[1]) / 2e-5 - grads[name][spot]) < 1e-5
 
 
+def plain_log_prob(w, words, counts, text):
+    """Sum of log P(word | both sides), with loops and math alone."""
+    import math
+
+    side, buckets, reach = lm_scoring.SIDE, lm_scoring.BUCKETS, lm_scoring.REACH
+    number = {x: i for i, x in enumerate(words)}
+
+    def of(word):
+        return number.get(word, lm_scoring.WORDS + lm_scoring.zlib.crc32(word) % buckets)
+
+    shared = {}
+    for word, n in counts.items():
+        if word not in number:
+            shared[of(word)] = shared.get(of(word), 0) + n
+    own = (text or "").encode().split()
+    tokens = [of(x) for x in own]
+    total = 0.0
+    for i, target in enumerate(tokens):
+        around = [i + k for k in range(-reach, reach + 1) if k]
+        x = [v for k in around for v in w["embed"][tokens[k] if 0 <= k < len(tokens) else lm_scoring.PAD]]
+        h = [math.tanh(sum(a * b for a, b in zip(x, column)) + c) for column, c in zip(w["mix"].T, w["mix_bias"])]
+        for matrix, bias, row in (
+            (w["first"], w["first_bias"], target // side), (w["second"], w["second_bias"][target // side], target % side)
+        ):
+            out = [sum(a * b for a, b in zip(h, column)) + c for column, c in zip(matrix.T, bias)]
+            total += out[row] - math.log(sum(map(math.exp, out)))
+        if own[i] not in number:
+            total += math.log(counts[own[i]] / shared[target])
+    return total
+
+
+@pytest.mark.parametrize("scale", [0.3, 8.0])
+def test_lm_query_agrees_with_plain_python(spark, edge, monkeypatch, scale):
+    """Scores of the whole job from given weights; large weights take the shifted exponentials."""
+    rng = np.random.default_rng(3)
+    w = {n: rng.normal(0, scale, s).astype(np.float32) for n, s in lm_scoring.SHAPES.items()}
+    assert lm_scoring.small_outputs(w) == (scale < 1)
+    monkeypatch.setattr(lm_scoring, "train", lambda rows, number: lm_scoring.to_line(w))
+    monkeypatch.setattr(lm_scoring, "WORDS", 40)  # the others share buckets
+    monkeypatch.setattr(lm_scoring, "BUCKETS", lm_scoring.SIDE**2 - 40)
+    rows = [(d, t) for d, t in pairs(edge) if len(t or "") < 2000]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = Counter(x for _, t in rows for x in (t or "").encode().split())
+    words = sorted(counts, key=lambda x: (-counts[x], x))[:40]
+    want = [(d, plain_log_prob(w, words, counts, t)) for d, t in rows]
+    got = [(r.doc_id, r.log_prob) for r in lm_scoring.score_documents(df, 5).collect()]
+    order = lambda r: (repr(r[0]), r[1])
+    for (a, x), (b, y) in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a == b and abs(x - y) < 1e-3 * (1 + abs(y))
+
+
+def test_lm_beats_word_counts_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learnt, held = docs.filter("doc_id % 5 <> 0").repartition(4), docs.filter("doc_id % 5 = 0")
+    words, line = lm_scoring.fit(learnt)
+    _, number = lm_scoring.vocabulary(learnt)
+    start = lm_scoring.to_line(lm_scoring.start_weights(number))
+    both = [held.select(lm_scoring.scores(held.text, words, x).alias("s")).agg(F.sum("s.log_prob")).first()[0] for x in (line, start)]
+    assert both[0] > both[1]
+
+
 def test_training_lowers_the_loss(spark):
     cycle = ["red", "green", "blue", "gold"] * 41
     rows = [(i, " ".join(cycle[i % 4 : i % 4 + 160])) for i in range(1000)]
