@@ -261,3 +261,28 @@ def test_language_model_by_hand_and_more_scripts(spark):
     df = spark.createDataFrame(asked, "t string, want string")
     assert all(r.want == r.language for r in languages.identify(df, model, "t").collect())
     assert {r.language for r in languages.identify(df, {}, "t").collect()} == {"und"}
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """Terms of a text are counted in its row; no exchange carries them, and repeated keys are one text."""
+    df = spark.createDataFrame([(1, "b a b a b"), (2, None), (3, ""), (4, "aa bb")], "id long, t string")
+    counts = topic_space.term_counts(df, "id", "t", [])
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    twice = spark.createDataFrame([(1, "aa bb aa"), (1, "aa"), (None, "aa"), (None, "bb"), (2, "bb")], "id long, t string")
+    got = sorted((r.id or 0, r.term, r.tf) for r in topic_space.term_counts(twice, "id", "t", []).collect())
+    assert got == [(0, "aa", 1), (0, "bb", 1), (1, "aa", 3), (1, "aa bb", 1), (1, "bb", 1), (1, "bb aa", 1), (2, "bb", 1)]
+
+
+def test_dictionary_leaves_the_entries_unwritten(spark, monkeypatch):
+    purposes, write = [], topic_space.written
+    monkeypatch.setattr(topic_space, "written", lambda df, purpose, *a: purposes.append(purpose) or write(df, purpose, *a))
+    terms, entries = topic_space.term_space(spark.createDataFrame(subjects(), "id long, t string"), "id", "t", ["the"])
+    assert terms.count() and set(purposes) == {"repeated-keys", "sorted-terms", "dictionary"}
+
+
+def test_reduction_is_the_same_in_many_tasks(space):
+    """A step sends columns of texts, not of entries, and each task holds the entries of its own terms."""
+    texts = topic_space.packed(space[1], "id")
+    one = {r.id: list(r)[1:] for r in topic_space.reduce_packed(texts, "id", 3).collect()}
+    many = {r.id: list(r)[1:] for r in topic_space.reduce_packed(texts, "id", 3, held=50).collect()}
+    assert len(one) == 60 and all(np.allclose(one[k], many[k]) for k in one)
