@@ -562,3 +562,22 @@ def test_chat_ranges_share_open_ancestors(spark):
     for c, t, role, text in rows:
         whole.setdefault(c, []).append((t, role, text))
     check_stream(nodes.collect(), members.collect(), whole)
+
+
+def test_rules_are_fitted_on_every_labelled_row(spark, monkeypatch):
+    """Ranks, trees and threshold have all rows, more than are held as ranks: one row that no sample has shows in all."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(3000, 3)), 2)
+    x[1234] = 50.0
+    rows = spark.createDataFrame([(int(h), [float(v) for v in r]) for h, r in enumerate(x)], "hash long, x array<double>")
+    whole = quality_rules.order_statistics(rows, len(x), 3)
+    assert np.array_equal(whole, np.sort(x, axis=0))
+    held = quality_rules.order_statistics(rows, len(x), 3, ranks=101)
+    assert np.array_equal(held, np.sort(x, axis=0)[np.arange(101) * 2999 // 100])
+    forest = quality_rules.grow_on(rows, len(x), 3, trees=4)
+    assert max(forest.high[t, 0].max() for t in range(4)) == 50.0
+    assert np.array_equal(forest.low[:, 0], np.array([x[t::4].min(axis=0) for t in range(4)]))
+    scores = np.round(rng.uniform(size=3000), 3)
+    label = rng.integers(0, 2, 3000)
+    table = spark.createDataFrame([(int(a), float(b)) for a, b in zip(label, scores)], "label int, score double")
+    assert quality_rules.calibrated(table, 0.01) == quality_rules.calibrate(scores[label == 1], scores[label == 0], 0.01)
