@@ -143,3 +143,11 @@ def test_long_runs_take_linear_time(spark):
     assert rows[0].e == 0 and rows[0].r == n and rows[3].w == 1
     assert rows[1].w == 1 and rows[2].w == 3 and rows[2].s == n + 4
     assert rows[4].rs and not rows[5].rs and rows[6].runs == 1
+
+
+def test_travel_texts_compute_each_step_once(spark):
+    df = spark.createDataFrame([(1, "Visit 🏖 now http://x.io"), (2, "nothing"), (3, None), (4, "tra-vel!")], "id long, t string")
+    found = T.travel_texts(df, F.col("t"), "cleaned")
+    assert {r.id for r in found.collect()} == {1, 4}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.URL) == 2  # once before spelling, once in the cleaning
