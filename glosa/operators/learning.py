@@ -5,11 +5,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer,
+    IDF, CountVectorizer, SQLTransformer, StopWordsRemover, StringIndexer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,19 +21,24 @@ from glosa.session import written
 MAX_TERMS = 5000
 
 
+def words_sql(text: str, bigrams: bool = False) -> str:
+    """SQL for the lower-cased words of two UTF-16 units or more without English stop words, then their pairs."""
+    stop = [w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalnum()]
+    listed = ", ".join(f"'{w}'" for w in stop)
+    kept = "(length(w) >= 2 OR octet_length(w) = 4) AND w NOT IN (" + listed + ")"
+    words = rf"filter(split(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), w -> {kept})"
+    if not bigrams:
+        return words
+    after = "slice(ws, 2, greatest(size(ws) - 1, 0))"
+    pairs = f"zip_with(slice(ws, 1, greatest(size(ws) - 1, 0)), {after}, (a, b) -> concat(a, ' ', b))"
+    return f"flatten(transform(array({words}), ws -> concat(ws, {pairs})))"
+
+
 def features(text: str = "text", bigrams: bool = False, max_terms: int = MAX_TERMS) -> list:
     """Words of two or more letters without English stop words, TF-IDF over the most frequent terms."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        StopWordsRemover(inputCol="_tokens", outputCol="_words"),
-    ]
-    if bigrams:
-        stages += [
-            NGram(n=2, inputCol="_words", outputCol="_pairs"),
-            SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-        ]
-    return stages + [
-        CountVectorizer(inputCol="_terms" if bigrams else "_words", outputCol="_tf", vocabSize=max_terms),
+    return [
+        SQLTransformer(statement=f"SELECT *, {words_sql(text, bigrams)} AS _terms FROM __THIS__"),
+        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms),
         IDF(inputCol="_tf", outputCol="features"),
     ]
 
@@ -57,7 +62,19 @@ def emotion_pipeline(labels: list[str]) -> Pipeline:
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
+    """Fits stage by stage: texts are cut into terms once and counted once; what later passes read is written.
+
+    IDF and classifier read sparse counts, so the rounds of an optimiser never go back to the texts.
+    """
+    fitted, rows = [], train
+    for stage in pipeline.getStages():
+        model = stage.fit(rows) if isinstance(stage, Estimator) else stage
+        fitted.append(model)
+        rows = model.transform(rows)
+        made = {SQLTransformer: "_terms", CountVectorizer: "_tf"}.get(type(stage))
+        if made:
+            rows = written(rows.select(made, *[c for c in ("label", "emotion_label") if c in rows.columns]), "training")
+    return PipelineModel(fitted)
 
 
 def predict_spam(model: PipelineModel, df: DataFrame, text: str = "original_comment") -> DataFrame:
@@ -84,10 +101,22 @@ def score_emotions(model: PipelineModel, df: DataFrame, text: str = "original_co
     )
 
 
-def featurized(train: DataFrame, *others: DataFrame, bigrams: bool = False) -> list[DataFrame]:
-    """label and TF-IDF features of each table, the feature stages fitted on ``train`` alone; written once."""
-    model = Pipeline(stages=features(bigrams=bigrams)).fit(train)
-    return [written(model.transform(rows).select("label", "features"), "features") for rows in (train, *others)]
+def cut(rows: DataFrame, *keep: str) -> DataFrame:
+    """The terms of each text and the columns to keep, written: what features are fitted on, again and again."""
+    return written(features()[0].transform(rows).select("_terms", *keep), "terms")
+
+
+def featurized(train: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """label and TF-IDF features of each table, the feature stages fitted on ``train`` alone; counts are written once.
+
+    Tables with ``_terms`` have been cut into terms before.
+    """
+    to_terms, counter, idf = features()
+    tables = [t if "_terms" in t.columns else to_terms.transform(t) for t in (train, *others)]
+    vocabulary = counter.fit(tables[0])
+    counted = [written(vocabulary.transform(t).select("label", "_tf"), "term-frequencies") for t in tables]
+    weights = idf.fit(counted[0])
+    return [weights.transform(t).select("label", "features") for t in counted]
 
 
 def measured(model, rows: DataFrame, metric: str) -> float:
@@ -105,7 +134,7 @@ def grid_search(rows: DataFrame, key: str = "comment_id"):
 
     The features are fitted on the other four fifths alone.
     """
-    split = written(stratified_split(rows, "label", key, 0.2), "search-rows")
+    split = cut(stratified_split(rows, "label", key, 0.2), "label", "part")
     train, held = featurized(split.filter("part = 'train'"), split.filter("part = 'test'"))
     grid = [
         {"regParam": reg, "elasticNetParam": net, "maxIter": rounds}
@@ -136,7 +165,7 @@ def learning_curve(
         return F.conv(F.substring(order, first, 8), 16, 10).cast("double") / float(2**32)
 
     dealt = rows.select("text", "label", F.floor(digits(1) * folds).alias("_fold"), digits(9).alias("_place"))
-    dealt = written(dealt, "curve-rows")
+    dealt = cut(dealt, "label", "_fold", "_place")
 
     def one(item) -> list[tuple]:
         share, fold = item

@@ -81,3 +81,27 @@ def test_spam_rows_are_read_anew(spark, tmp_path):
     half.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     after = {r.comment_id for r in learn_queries.spam_rows(spark, str(tmp_path)).collect()}
     assert after and after < before
+
+
+def test_words_are_those_of_the_ml_stages(spark):
+    from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+
+    texts = ["I'm The cat, a cat SAT", "", "x", "\U0001d400 a \U0001f600 x_y 12 3 İstanbul ΣΑΣ STRASSE don't", "  both  of them ran home "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    cut = RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2).transform(df)
+    cut = StopWordsRemover(inputCol="_tokens", outputCol="_words").transform(cut)
+    plain = {r.text: r for r in NGram(n=2, inputCol="_words", outputCol="_pairs").transform(cut).collect()}
+    for bigrams in (False, True):
+        got = learning.features(bigrams=bigrams)[0].transform(df).collect()
+        assert all(r._terms == plain[r.text]._words + (plain[r.text]._pairs if bigrams else []) for r in got)
+
+
+def test_texts_are_cut_once_for_training(spark, rows, monkeypatch):
+    """However many folds and shares, the texts are read for one table of terms; the rest reads counts."""
+    purposes, write = [], learning.written
+    monkeypatch.setattr(learning, "written", lambda df, purpose, *a: purposes.append((purpose, df.columns)) or write(df, purpose, *a))
+    learning.learning_curve(rows, shares=(0.6, 1.0), folds=2)
+    assert [p for p, _ in purposes].count("terms") == 1 and not any("text" in columns for _, columns in purposes)
+    purposes.clear()
+    learning.fit(learning.spam_pipeline(), rows)
+    assert [columns for _, columns in purposes] == [["_terms", "label"], ["_tf", "label"]]
