@@ -14,7 +14,6 @@ square of its length; words over ``LONG_WORD`` bytes are run by themselves, in r
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import sys
 from collections.abc import Iterator
@@ -104,8 +103,7 @@ class Codec:
         self._create("vocabulary", pa.table({"id": ids, "bytes": [t.hex() for t in self.ranks]}))
         self.id_text = {i: str(i) for i in self.ranks.values()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.lines: dict[str, str] = {}  # pre-token -> its ids as text, and as packed numbers
-        self.packed: dict[str, bytes] = {}
+        self.packed: dict[str, bytes] = {}  # pre-token -> its ids as packed numbers
 
     def _create(self, name: str, rows) -> None:
         self.db.register("given", rows)
@@ -146,9 +144,9 @@ class Codec:
             nonlocal size
             if todo:
                 ids, at = self.merge(raw)
-                lines, packed = list(map(self.id_text.__getitem__, ids.tolist())), ids.tobytes()
+                packed = ids.tobytes()
                 for w, a, b in zip(todo, at, at[1:], strict=False):
-                    self.lines[w], self.packed[w] = ",".join(lines[a:b]), packed[4 * a : 4 * b]
+                    self.packed[w] = packed[4 * a : 4 * b]
             todo.clear()
             raw.clear()
             size = 0
@@ -157,7 +155,7 @@ class Codec:
             code = w.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(code)
             if whole is not None:  # a pre-token that is a token needs no merges
-                self.lines[w], self.packed[w] = self.id_text[whole], whole.to_bytes(4, sys.byteorder)
+                self.packed[w] = whole.to_bytes(4, sys.byteorder)
                 continue
             if len(code) > LONG_WORD:
                 flush()
@@ -174,15 +172,14 @@ class Codec:
         for begin, end in self._slices([len(t) for t in texts], SLICE):
             split = [self.find(t) for t in texts[begin:end]]
             seen = set().union(*split)
-            new = seen.difference(self.lines)
-            if len(self.lines) + len(new) > MEMO_LIMIT:  # what this slice needs stays together
-                self.lines.clear()
+            new = seen.difference(self.packed)
+            if len(self.packed) + len(new) > MEMO_LIMIT:  # what this slice needs stays together
                 self.packed.clear()
                 new = seen
             self.learn(list(new))
             for words in split:
                 ids = np.frombuffer(b"".join(map(self.packed.__getitem__, words)), np.int32)
-                out.append((",".join(map(self.lines.__getitem__, words)), ids))
+                out.append((",".join(map(self.id_text.__getitem__, ids.tolist())), ids))
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -210,9 +207,9 @@ class Codec:
             yield begin, len(sizes)
 
 
-@functools.lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    """The codec of this worker, kept until a task of another operator runs in it."""
+    return common.kept(("bpe_codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(text: Column, path: str, pattern: str | None = None) -> Column:

@@ -54,6 +54,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+_kept: dict = {}
+
+
+def kept(key=None, make: Callable | None = None):
+    """What this Python worker keeps from task to task: ``make()`` under a key, or nothing.
+
+    Spark gives the tasks of all operators to the same workers, so one thing is kept at a time: a task that asks for
+    another, or calls without a key, lets go of it.
+    """
+    if key not in _kept:
+        _kept.clear()
+        if make is None:
+            return None
+        _kept[key] = make()
+    return _kept[key]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -140,6 +140,7 @@ def hits(spark: SparkSession, text: Column, blocks: list[dict]) -> Column:
 
     @F.pandas_udf(HITS)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.kept()
         scanners = [Scanner(b.value) for b in sent]
         for batch in series:
             rows, texts, size = [], [], 0

@@ -60,6 +60,7 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.pandas_udf("long")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.kept()
         for batch in series:
             yield pd.Series([fingerprint(t, shingle) for t in batch], dtype="int64")
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glosa.llm import common
 from glosa.llm.common import SPACES, rolling
 
 #: Fixed values of the contract.
@@ -100,6 +101,7 @@ def statistics(text: Column) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.kept()
         for batch in series:
             yield frame(map(measure, batch))
 

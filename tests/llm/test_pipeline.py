@@ -1,6 +1,7 @@
 """The pipeline against a plain version, its stages on awkward rows, and the statements of the queries."""
 
 import math
+import weakref
 
 import duckdb
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glosa.llm import bpe_codec, catalog, common, quality_rules, secrets
+from glosa.llm.pretokens import public_pattern
 from tests.llm import brute
 from tests.llm.conftest import SF
 
@@ -78,3 +80,13 @@ def test_redacted_lengths_and_marks(spark, edge):
     assert out.filter("text IS NOT NULL").filter(F.length("text") != F.col("n_chars")).count() == 0
     assert "[REDACTED]" in out.filter("doc_id = 10").first().text
     assert secrets.report(out).filter(F.size("spans_") > 0).count() == 0
+
+
+def test_worker_keeps_the_tables_of_one_operator():
+    own = bpe_codec.codec(common.tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_pattern())
+    assert bpe_codec.codec(common.tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_pattern()) is own
+    gone = weakref.ref(own)
+    del own
+    assert common.kept("another", list) == [] and gone() is None
+    assert common.kept() is None and common.kept("another", lambda: [1]) == [1]
+    common.kept()
