@@ -42,8 +42,8 @@ SIDE, BUCKETS = 64, 512
 WORDS = SIDE * SIDE - BUCKETS  # words with a number of their own
 REACH, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 2048, 0.08
-#: Tokens scored at once, distinct words held before they are sent on, weights in one row, tasks per average.
-BLOCK, HELD_WORDS, SLOT, FAN_IN = 8192, 200_000, 8192, 64
+#: Tokens whose outputs are held at once (they fit a core's cache), distinct words held before they are sent on, weights in one row, tasks per average.
+BLOCK, HELD_WORDS, SLOT, FAN_IN = 1024, 200_000, 8192, 64
 TEXTS = 256  # texts that are turned into numbers at once
 HOT, UNIT = 262_144, 1_000_000_000  # words whose counts are broadcast, parts of a log that are counted
 PAD = SIDE * SIDE
@@ -228,23 +228,6 @@ def small_outputs(w: dict) -> bool:
     return bool(max(one, two) < SMALL_OUTPUT)
 
 
-def log_softmax_at(x: np.ndarray, row: np.ndarray, small: bool = False) -> np.ndarray:
-    """Of one row in each column; in place."""
-    if not small:
-        x -= x.max(axis=0)
-    chosen = x[row, np.arange(x.shape[1])]
-    return chosen - np.log(np.exp(x, out=x).sum(axis=0))
-
-
-def softmax(x: np.ndarray, small: bool = False) -> np.ndarray:
-    """Of each column; in place."""
-    if not small:
-        x -= x.max(axis=0)
-    np.exp(x, out=x)
-    x /= x.sum(axis=0)
-    return x
-
-
 def by_number(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct numbers, an order that brings equal ones together, and where each begins in it."""
     order = np.argsort(at.astype(np.int16), kind="stable")
@@ -253,50 +236,81 @@ def by_number(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[begins], order, begins
 
 
-def forward(w: dict, context: np.ndarray, target: np.ndarray):
-    """Inputs by row; by column the hidden values and the outputs for all classes and all members of the target's class."""
-    x = w["embed"].take(context.ravel(), axis=0).reshape(len(context), -1)
-    h = np.tanh(w["mix"].T @ x.T + w["mix_bias"][:, None])
-    one = w["first"].T @ h
-    one += w["first_bias"][:, None]
-    two = w["second"].T @ h
-    two += w["second_bias"].T.take(target // SIDE, axis=1)
-    return x, h, one, two
+def outputs(w: dict, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row the outputs for all classes, and those for all members of the target's class."""
+    one = h @ w["first"]
+    one += w["first_bias"]
+    two = h @ w["second"]
+    two += w["second_bias"].take(target // SIDE, axis=0)
+    if not small_outputs(w):
+        one -= one.max(axis=1, keepdims=True)
+        two -= two.max(axis=1, keepdims=True)
+    return one, two
 
 
-def log_probs(w: dict, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    _, _, one, two = forward(w, context, target)
-    small = small_outputs(w)
-    return log_softmax_at(one, target // SIDE, small) + log_softmax_at(two, target % SIDE, small)
+def mixed(w: dict) -> list[np.ndarray]:
+    """What each token adds to the hidden inputs from each place of a window; the bias is in the first."""
+    parts = [w["embed"] @ w["mix"][k * WIDTH : (k + 1) * WIDTH] for k in range(2 * REACH)]
+    parts[0] += w["mix_bias"]
+    return parts
+
+
+def log_probs(w: dict, context: np.ndarray, target: np.ndarray, parts: list[np.ndarray] | None = None) -> np.ndarray:
+    """Of each target in its context; ``parts`` is ``mixed(w)``, where it is known."""
+    parts = parts or mixed(w)
+    h = parts[0].take(context[:, 0], axis=0)
+    for part, tokens in zip(parts[1:], context.T[1:], strict=True):
+        h += part.take(tokens, axis=0)
+    one, two = outputs(w, np.tanh(h, out=h), target)
+    each, ones = np.arange(len(target)), np.ones(SIDE, one.dtype)
+    chosen = one[each, target // SIDE] + two[each, target % SIDE]
+    return chosen - np.log(np.exp(one, out=one) @ ones) - np.log(np.exp(two, out=two) @ ones)
 
 
 def gradients(w: dict, context: np.ndarray, target: np.ndarray) -> dict[str, tuple]:
-    """Of the mean negative log-probability: (rows of the weight that it is not zero for, its values there)."""
-    x, h, one, two = forward(w, context, target)
-    n, columns, small = len(target), np.arange(len(target)), small_outputs(w)
-    d_one, d_two = softmax(one, small), softmax(two, small)
-    d_one[target // SIDE, columns] -= 1
-    d_two[target % SIDE, columns] -= 1
-    d_one /= n
-    d_two /= n
-    d_h = (w["first"] @ d_one + w["second"] @ d_two) * (1 - h * h)
-    every = slice(None)
+    """Of the mean negative log-probability: (rows of the weight that it is not zero for, its values there).
+
+    Outputs exist for ``BLOCK`` targets at a time; the sum is over all.
+    """
+    n, every = len(target), slice(None)
+    total = {name: np.zeros(w[name].shape, w[name].dtype) for name in SHAPES if name != "embed"}
+    d_x = np.empty((n, 2 * REACH * WIDTH), w["embed"].dtype)
+    for k in range(0, n, BLOCK):
+        some, own = target[k : k + BLOCK], slice(k, k + BLOCK)
+        x = w["embed"].take(context[own].ravel(), axis=0).reshape(len(some), -1)
+        h = x @ w["mix"]
+        h += w["mix_bias"]
+        one, two = outputs(w, np.tanh(h, out=h), some)
+        each, ones, all_ones = np.arange(len(some)), np.ones(SIDE, h.dtype), np.ones(len(some), h.dtype)
+        for out, at in ((one, some // SIDE), (two, some % SIDE)):  # softmax, as a share of the mean
+            np.exp(out, out=out)
+            out *= (1 / (n * (out @ ones)))[:, None]
+            out[each, at] -= 1 / n
+        d_h = two @ w["second"].T
+        d_h += one @ w["first"].T
+        d_h *= 1 - h * h
+        np.matmul(d_h, w["mix"].T, out=d_x[own])
+        total["mix"] += x.T @ d_h
+        total["mix_bias"] += all_ones @ d_h
+        total["first"] += h.T @ one
+        total["first_bias"] += all_ones @ one
+        total["second"] += h.T @ two
+        classes, order, begins = by_number(some // SIDE)
+        total["second_bias"][classes] += np.add.reduceat(two.take(order, axis=0), begins, axis=0)
     tokens, order, begins = by_number(context.ravel())
-    d_x = (d_h.T @ w["mix"].T).reshape(-1, WIDTH)
-    classes, class_order, class_begins = by_number(target // SIDE)
-    d_class = np.add.reduceat(d_two.take(class_order, axis=1), class_begins, axis=1)
-    return {
-        "embed": (tokens, np.add.reduceat(d_x.take(order, axis=0), begins, axis=0)), "mix": (every, x.T @ d_h.T),
-        "mix_bias": (every, d_h.sum(axis=1)), "first": (every, h @ d_one.T), "first_bias": (every, d_one.sum(axis=1)),
-        "second": (every, h @ d_two.T), "second_bias": (classes, d_class.T),
-    }
+    d_embed = np.add.reduceat(d_x.reshape(-1, WIDTH).take(order, axis=0), begins, axis=0)
+    return {"embed": (tokens, d_embed), **{name: (every, g) for name, g in total.items()}}
 
 
 def descend(w: dict, squares: dict, context: np.ndarray, target: np.ndarray) -> None:
     """One step; rows without a gradient stay as they are."""
     for name, (rows, g) in gradients(w, context, target).items():
-        squares[name][rows] += g * g
-        w[name][rows] -= RATE * g / np.sqrt(squares[name][rows])
+        some = squares[name][rows] + g * g
+        squares[name][rows] = some
+        np.sqrt(some, out=some)
+        np.divide(g, some, out=some)
+        some *= RATE
+        w[name][rows] -= some
 
 
 def laid_out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,10 +335,10 @@ def decoded(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def totals(w: dict, tokens: np.ndarray, places: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of tokens and summed log-probabilities of ``n`` texts."""
-    total = np.zeros(n)
+    total, parts = np.zeros(n), mixed(w)
     for k in range(0, len(places), BLOCK):
         at = places[k : k + BLOCK]
-        total += np.bincount(owner[k : k + BLOCK], log_probs(w, windows(tokens, at), tokens[at]), n)
+        total += np.bincount(owner[k : k + BLOCK], log_probs(w, windows(tokens, at), tokens[at], parts), n)
     return np.bincount(owner, minlength=n), total
 
 
@@ -337,7 +351,8 @@ def slices(batches) -> Iterator[list]:
 
 def targets(places: np.ndarray, owner: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """The places that a round trains on: every ``rounds``-th one of each text, from the ``turn``-th on."""
-    inside = np.arange(len(places)) - np.searchsorted(owner, owner, side="left")
+    lengths = np.bincount(owner)
+    inside = np.arange(len(places)) - (np.cumsum(lengths) - lengths)[owner]
     return places[inside % rounds == turn]
 
 

@@ -1,6 +1,7 @@
 """Every operator against a plain version, on given documents and on awkward rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -581,3 +582,25 @@ def test_rules_are_fitted_on_every_labelled_row(spark, monkeypatch):
     label = rng.integers(0, 2, 3000)
     table = spark.createDataFrame([(int(a), float(b)) for a, b in zip(label, scores)], "label int, score double")
     assert quality_rules.calibrated(table, 0.01) == quality_rules.calibrate(scores[label == 1], scores[label == 0], 0.01)
+
+
+def test_lm_outputs_exist_for_one_block_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    w = {n: rng.normal(0, 0.3, s).astype(np.float32) for n, s in lm_scoring.SHAPES.items()}
+    bodies = [rng.integers(0, lm_scoring.PAD, 10_000).astype(np.int16).tobytes() for _ in range(3)]
+    laid = lm_scoring.decoded(bodies)
+    lm_scoring.totals(w, *laid, 3)
+    tracemalloc.start()
+    count, total = lm_scoring.totals(w, *laid, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000 and count.tolist() == [10_000] * 3
+    at, tokens = laid[1][:100], laid[0]
+    context, target = lm_scoring.windows(tokens, at), tokens[at]
+    whole, some = lm_scoring.log_probs(w, context, target), lm_scoring.gradients(w, context, target)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 7)
+    assert np.allclose(lm_scoring.totals(w, *laid, 3)[1][0], total[0], rtol=1e-5)
+    assert np.allclose(lm_scoring.log_probs(w, context[:1], target[:1]), whole[:1], rtol=1e-5)
+    for name, (rows, g) in lm_scoring.gradients(w, context, target).items():
+        assert np.array_equal(rows, some[name][0]) if name == "embed" else rows == some[name][0]
+        assert np.allclose(g, some[name][1], rtol=1e-4, atol=1e-7), name
