@@ -105,7 +105,7 @@ def test_columns_go_to_a_few_tasks_at_a_time(spark, table, monkeypatch):
     assert once.keys() == turned.keys() and all(np.allclose(once[k], turned[k]) for k in once)
 
 
-@pytest.mark.parametrize("query", [learn_queries.topic_summary, learn_queries.topic_assignment])
+@pytest.mark.parametrize("query", [learn_queries.topic_summary, learn_queries.topic_assignment, learn_queries.nearest_centre])
 def test_a_query_leaves_no_entries_behind(spark, query, monkeypatch, tmp_path):
     """Tables of all entries, all columns or all edges are removed when nothing reads them any more."""
     made = session.work_dir
